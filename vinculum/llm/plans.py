@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import leaks, pieces, tokens
+from vinculum.llm import addresses, leaks, pieces, tokens
 from vinculum.session import table
 
 
+def _pairs(members: DataFrame, group: list[str], name: str, a: str, b: str) -> DataFrame:
+    """All pairs a < b of different values of ``name`` within each group; the stated form of the result."""
+    left, right = members.select(*group, F.col(name).alias(a)), members.select(*group, F.col(name).alias(b))
+    return left.join(right, group).filter(F.col(a) < F.col(b)).drop(*group)
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "calls").select(F.col("location").alias("loc"))
+    listed = table(spark, d, "entity_attributes").select(F.explode("locations").alias("loc"))
+    return addresses.link_addresses(calls.unionByName(listed))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Different strings that denote one address."""
+    return _pairs(_places(spark, d), ["place"], "loc", "loc_a", "loc_b").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
@@ -35,7 +52,10 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "documents")).filter("n_pieces > 1")
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {
+    "p3_found": p3_found,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces,
+}
 
 ORACLE = {
     # texts without ids have the empty text

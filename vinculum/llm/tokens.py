@@ -24,6 +24,24 @@ def _words(text: str):
     return F.regexp_extract_all(F.col(text), F.lit(WORD), 1)
 
 
+#: Stands for a word whose ids are still missing; ids are packed in two bytes, so a vocabulary has fewer than this.
+HOLE = 65_535
+
+
+def packed(edges: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """Binary values of two bytes an id, one for each range between ``edges``."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and ids of packed values."""
+    _, edges, data = values.buffers()
+    edges = np.frombuffer(edges, dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    if data is None or edges[-1] == edges[0]:
+        return np.zeros(len(values) + 1, dtype=np.int64), np.empty(0, dtype=np.uint16)
+    return (edges - edges[0]) // 2, np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]].view(np.uint16)
+
+
 def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
     """(word, n, ids): each distinct word of ``text``, its occurrences and its ids; the word is encoded once."""
     counts = df.filter(F.col(text) != "").select(F.explode(_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -37,13 +55,15 @@ def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
     return counts.mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot: int = 20_000) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, hot: int = 200_000) -> DataFrame:
     """(``key``, ``ids`` ARRAY<INT>) for every row of ``df``, in the ids of the byte-level vocabulary at ``path``.
 
     Null and empty texts have the empty list. Repeated keys and rows each keep their row; a null key stays null; extra
     columns are not returned. An empty table gives an empty one. Texts of any length are encoded whole.
     """
     path = path or vocabulary.default_path()
+    if max(vocabulary.ranks(path).values()) >= HOLE:
+        raise ValueError("ids of this vocabulary don't fit in two bytes")
     spark = df.sparkSession
     df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     table = materialise(word_table(df, "_text", path))
@@ -51,7 +71,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     top = table.filter(F.col("n") >= max(1.0, total / hot)).select("word", "ids").collect() if total else []
     lens = np.array([len(r.ids) for r in top], dtype=np.int64)
     shared = spark.sparkContext.broadcast(
-        ([r.word for r in top], np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), np.array([i for r in top for i in r.ids], dtype=np.int32))
+        ([r.word for r in top], np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), np.array([i for r in top for i in r.ids], dtype=np.uint16))
     )
 
     def look_up(batches):
@@ -70,7 +90,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             else:
                 n = np.ones(len(at), dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
-            out = np.full(ends[-1], -1, dtype=np.int32)
+            out = np.full(ends[-1], HOLE, dtype=np.uint16)
             if len(sizes):
                 src = np.repeat(np.where(rare, 0, starts[at]) - ends[:-1], n) + np.arange(ends[-1])
                 known = np.repeat(~rare, n)
@@ -81,7 +101,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
                 [
                     b.column("_row"),
                     b.column("_key"),
-                    pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out)),
+                    packed(ends[offsets], out),
                     pa.ListArray.from_arrays(pa.array(before[offsets].astype(np.int32)), missing),
                 ],
                 ["_row", "_key", "ids", "rare"],
@@ -90,23 +110,27 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     words = F.coalesce(_words("_text"), F.array().cast("array<string>"))
     kind = df.schema["_key"].dataType.simpleString()
     split = df.select(F.monotonically_increasing_id().alias("_row"), "_key", words.alias("_words"))
-    found = materialise(split.mapInArrow(look_up, f"_row bigint, _key {kind}, ids array<int>, rare array<string>"))
+    found = materialise(split.mapInArrow(look_up, f"_row bigint, _key {kind}, ids binary, rare array<string>"))
     spots = found.select("_row", F.posexplode("rare").alias("_at", "word"))
     spots = spots.join(table.select("word", F.col("ids").alias("_ids")), "word").groupBy("_row")
     spots = spots.agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_fill"))
     open_ = found.filter(F.size("rare") > 0).select("_row", "_key", "ids").join(spots, "_row")
 
+    def unpack(batches):
+        for b in batches:
+            offsets, flat = unpacked(b.column("ids"))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("_key"), lists], ["_key", "ids"])
+
     def fill(batches):
         for b in batches:
-            ids, fills = b.column("ids"), b.column("_fill")
-            offsets = ids.offsets.to_numpy().astype(np.int64)
-            flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
+            fills = b.column("_fill")
+            offsets, flat = unpacked(b.column("ids"))
             edge = fills.offsets.to_numpy()
             lists = fills.values.slice(edge[0], edge[-1] - edge[0]).field("_ids")
             edge = lists.offsets.to_numpy().astype(np.int64)
             new = lists.values.to_numpy(zero_copy_only=False)
-            hole = flat < 0
+            hole = flat == HOLE
             n = np.ones(len(flat), dtype=np.int64)
             n[hole] = np.diff(edge)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -118,7 +142,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out))], ["_key", "ids"])
 
     filled = open_.select("_key", "ids", "_fill").mapInArrow(fill, f"_key {kind}, ids array<int>")
-    done = found.filter(F.size("rare") == 0).select("_key", "ids")
+    done = found.filter(F.size("rare") == 0).select("_key", "ids").mapInArrow(unpack, f"_key {kind}, ids array<int>")
     return done.unionByName(filled).withColumnRenamed("_key", key)
 
 
