@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import addresses, leaks, pieces, tokens
+from vinculum.llm import addresses, leaks, names, pieces, tokens
 from vinculum.session import table
 
 
 def _pairs(members: DataFrame, group: list[str], name: str, a: str, b: str) -> DataFrame:
     """All pairs a < b of different values of ``name`` within each group; the stated form of the result."""
     left, right = members.select(*group, F.col(name).alias(a)), members.select(*group, F.col(name).alias(b))
-    return left.join(right, group).filter(F.col(a) < F.col(b)).drop(*group)
+    return left.join(right, group).filter(F.col(a) < F.col(b))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").filter(F.col("entity_type").isin("PERSON", "ORGANIZATION")).select("id", "case_id", "canonical_name")
+    listed = table(spark, d, "entity_attributes").select(F.col("entity_id").alias("id"), F.explode("aliases").alias("name"))
+    owners = e.select("case_id", F.col("canonical_name").alias("name"), F.col("id").alias("owner")).unionByName(
+        e.select("id", "case_id").distinct().join(listed, "id").select("case_id", "name", F.col("id").alias("owner"))
+    )
+    t = table(spark, d, "transfers")
+    typed = t.select("case_id", F.explode(F.array("sender", "recipient")).alias("name"))
+    return names.link_names(typed, owners)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Different strings of one case that name the same person or organisation."""
+    return _pairs(_named(spark, d), ["case_id", "entity"], "name", "name_a", "name_b").select("case_id", "name_a", "name_b").distinct()
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +39,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Different strings that denote one address."""
-    return _pairs(_places(spark, d), ["place"], "loc", "loc_a", "loc_b").distinct()
+    return _pairs(_places(spark, d), ["place"], "loc", "loc_a", "loc_b").select("loc_a", "loc_b").distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +69,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
