@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import addresses, leaks, names, pieces, tokens
+from vinculum.llm import addresses, leaks, names, pieces, scans, tokens
 from vinculum.session import table
 
 
@@ -42,6 +42,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(_places(spark, d), ["place"], "loc", "loc_a", "loc_b").select("loc_a", "loc_b").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned pages and their defects."""
+    return scans.find_defects(table(spark, d, "ocr_blocks")).distinct()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The scans as continuous paragraphs."""
+    return scans.paragraphs(table(spark, d, "ocr_blocks"), table(spark, d, "ocr_results"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
@@ -71,6 +81,8 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
