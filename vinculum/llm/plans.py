@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm import addresses, leaks, names, pieces, scans, tokens
+from vinculum.llm import addresses, leaks, names, pieces, privacy, scans, tokens
 from vinculum.session import table
 
 
@@ -52,6 +52,21 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(table(spark, d, "ocr_blocks"), table(spark, d, "ocr_results"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct personal items of every document and evidence snippet."""
+    docs = privacy.find_personal(table(spark, d, "documents"), "doc_id", "text")
+    snippets = table(spark, d, "entity_attributes").select("entity_id", F.explode("evidence_snippets").alias("text"))
+    found = privacy.find_personal(snippets, "entity_id", "text")
+    row = lambda df, src, key: df.select(F.lit(src).alias("src"), F.col(key).cast("string").alias("row_key"), "pii_kind", "found_text")
+    # items of one document are distinct already; an entity has several snippets
+    return row(docs, "documents", "doc_id").unionByName(row(found, "entity_attributes", "entity_id").distinct())
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with typed placeholders."""
+    return privacy.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
@@ -83,6 +98,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_paragraphs": p4_paragraphs,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
