@@ -243,7 +243,15 @@ def link_addresses(strings: DataFrame, window: int = 10) -> DataFrame:
             yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
     verified = pairs.mapInPandas(verify, "a bigint, b bigint")
-    every = links[1].unionByName(links[2]).unionByName(verified)
+    every = materialise(links[1].unionByName(links[2]).unionByName(verified).distinct())
+    # a form without PIN may fit places of several PINs: it takes the one that most of its links have, and joins no two
+    pins = forms.select(F.col("form").alias("b"), F.col("pin").alias("_p"))
+    both = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    votes = both.join(pins.filter("_p <> ''"), "b").groupBy("a", "_p").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("a").agg(F.max(F.struct("n", "_p")).alias("m")).select(F.col("a").alias("form"), F.col("m._p").alias("vote"))
+    own = forms.select("form", "pin").join(chosen, "form", "left").select("form", F.when(F.col("pin") != "", F.col("pin")).otherwise(F.coalesce("vote", F.lit(""))).alias("p"))
+    every = every.join(own.select(F.col("form").alias("a"), F.col("p").alias("pa")), "a").join(own.select(F.col("form").alias("b"), F.col("p").alias("pb")), "b")
+    every = every.filter("pa = '' or pb = '' or pa = pb").select("a", "b")
     roots = connected_components(every)
     placed = rows.select("loc", "form").join(roots.withColumnRenamed("node", "form"), "form", "left")
     return placed.select("loc", F.coalesce("root", "form").alias("place"))
