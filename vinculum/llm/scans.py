@@ -18,6 +18,8 @@ CONFUSED = [
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("h", "li"), ("u", "ii"), ("n", "ri"),
     ("e", "c"), ("s", "5"), ("o", "0"), ("t", "†"), ("i", "|"), ("l", "1"), ("a", "@"), ("g", "9"), ("b", "6"), ("€", "c"), ("¢", "c"),
 ]
+#: Position of a broken word, put together, beyond all words of its line.
+WHOLE = 1_000_000_000
 HYPHENS = "-‐\u00ad¬"
 _ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx"]
 _PAGE = r"^(?:p(?:a|@)(?:g|9)(?:e|c)|p(?:g|9)\.?|p\.)?\s*[-–\[(]*\s*([0-9lIO|]{1,4}|[ivx|]{1,6})\s*[-–\])]*\s*(?:(?:o|0)f\s+[0-9lIO|]{1,4})?\s*[-–\])]*\.?$"
@@ -72,9 +74,9 @@ def classify(blocks: DataFrame, near: int = 3, least_known: int = 5) -> DataFram
     edges of three scans and nearly never elsewhere.
     """
     lines = _lines(blocks).withColumn("number", F.when(F.col("edge") <= 2, _number(F.col("text"))))
-    scan = W.partitionBy("scan_id", "shift")
-    lines = lines.withColumn("shift", F.col("number") - F.col("page"))
-    lines = lines.withColumn("agree", F.when(F.col("shift").isNotNull() & (F.col("shift") != 0) & (F.abs("shift") < 1000), F.size(F.collect_set("page").over(scan))).otherwise(0))
+    lines = materialise(lines.withColumn("shift", F.col("number") - F.col("page")))
+    shifts = lines.filter("shift <> 0 and abs(shift) < 1000").groupBy("scan_id", "shift").agg(F.count_distinct("page").alias("agree"))
+    lines = lines.join(shifts, ["scan_id", "shift"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
     lines = lines.withColumn("is_number", F.coalesce((F.col("shift") == 0) | (F.col("agree") >= 2) | F.lower(F.trim("text")).rlike(_LABEL), F.lit(False)) & F.col("number").isNotNull())
     lines = materialise(lines.drop("shift", "agree", "number"))
     # words by the scans that hold them
@@ -114,16 +116,38 @@ def classify(blocks: DataFrame, near: int = 3, least_known: int = 5) -> DataFram
     return lines.select("scan_id", "page", "line_id", "text", role.alias("role"))
 
 
+def _next_page(firsts: DataFrame, columns: list[str], back: bool = False) -> DataFrame:
+    """(scan_id, page, columns...): the columns of the next page with a row, or of the one before.
+
+    ``firsts`` has one short row per page, so even a scan that holds a large share of all lines stays a small window.
+    """
+    order = W.partitionBy("scan_id").orderBy("page")
+    move = F.lag if back else F.lead
+    return firsts.select("scan_id", "page", *[move(c).over(order).alias(c) for c in columns])
+
+
 def _body(lines: DataFrame) -> DataFrame:
-    """Body lines in reading order, with the next one's text, the words of both and the hyphen that a line ends with."""
-    order = W.partitionBy("scan_id").orderBy("page", "line_id")
-    body = lines.filter("role = 'body' and trim(text) <> ''")
-    body = body.withColumn("next", F.lead("text").over(order)).withColumn("seq", F.row_number().over(order))
-    body = body.withColumn("nseq", F.col("seq") + 1)
-    cut = F.regexp_extract("text", rf"(?U)(\S*[\p{{L}}|†@01569ﬁﬂ])([{HYPHENS}])\s*$", 1)
-    mark = F.regexp_extract("text", rf"(?U)(\S*[\p{{L}}|†@01569ﬁﬂ])([{HYPHENS}])\s*$", 2)
-    rest = F.regexp_extract("next", r"(?U)^\s*([\p{L}|†@01569ﬁﬂ][^\s.,;:()]*)", 1)
-    return body.withColumn("cut", cut).withColumn("mark", mark).withColumn("rest", F.coalesce(rest, F.lit("")))
+    """Body lines with the place of the next one (npage, nline), the word that it begins with, and the hyphen at their end.
+
+    Lines are put in order within their page; only the first word of each page is looked up across pages.
+    """
+    order = W.partitionBy("scan_id", "page").orderBy("line_id")
+    head = F.regexp_extract("text", r"(?U)^\s*([\p{L}|†@01569ﬁﬂ][^\s.,;:()]*)", 1)
+    body = lines.filter("role = 'body' and trim(text) <> ''").withColumn("head", head)
+    firsts = body.groupBy("scan_id", "page").agg(F.min(F.struct("line_id", "head")).alias("f"))
+    firsts = firsts.select("scan_id", "page", F.col("page").alias("npage_"), F.col("f.line_id").alias("nline_"), F.col("f.head").alias("rest_"))
+    body = body.withColumn("nline", F.lead("line_id").over(order)).withColumn("rest", F.lead("head").over(order))
+    body = body.join(_next_page(firsts, ["npage_", "nline_", "rest_"]), ["scan_id", "page"], "left")
+    last = F.col("nline").isNull()
+    end = rf"(?U)(\S*[\p{{L}}|†@01569ﬁﬂ])([{HYPHENS}])\s*$"
+    return (
+        body.withColumn("npage", F.when(last, F.col("npage_")).otherwise(F.col("page")))
+        .withColumn("rest", F.coalesce(F.when(last, F.col("rest_")).otherwise(F.col("rest")), F.lit("")))
+        .withColumn("nline", F.when(last, F.col("nline_")).otherwise(F.col("nline")))
+        .withColumn("cut", F.regexp_extract("text", end, 1))
+        .withColumn("mark", F.regexp_extract("text", end, 2))
+        .drop("npage_", "nline_", "rest_", "head")
+    )
 
 
 def _bare(word: Column) -> Column:
@@ -145,16 +169,16 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     compound = F.lower(F.concat(F.col("cut"), F.lit("-"), F.col("rest")))
     # all words in their places; the parts of a broken word stand as the whole word, once
     tokens = F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda w: w != "")
-    spots = body.select("scan_id", "page", "line_id", "seq", "mark", "cut", "rest", F.posexplode(tokens).alias("at", "raw"), F.size(tokens).alias("size"))
+    spots = body.select("scan_id", "page", "line_id", "mark", "cut", "rest", F.posexplode(tokens).alias("at", "raw"), F.size(tokens).alias("size"))
     inside = ~((F.col("mark") != "") & (F.col("at") == F.col("size") - 1))
-    parts = spots.filter(inside).select("scan_id", "page", "line_id", "seq", "at", F.explode(F.split(F.lower(_bare(F.col("raw"))), r"[-/‐]")).alias("word"), "raw")
+    parts = spots.filter(inside).select("scan_id", "page", "line_id", "at", F.explode(F.split(F.lower(_bare(F.col("raw"))), r"[-/‐]")).alias("word"), "raw")
     parts = parts.filter(F.length("word") >= 2)
     lexicon = materialise(parts.groupBy("word").agg(F.count("*").alias("n")))
     compounds = materialise(
         spots.filter(inside).select(F.lower(_bare(F.col("raw"))).alias("word")).filter(F.col("word").rlike(r"(?U)\p{L}-\p{L}")).groupBy("word").agg(F.count("*").alias("nc"))
     )
     # broken words
-    ends = body.filter("mark <> '' and rest <> ''").select("scan_id", "page", "line_id", "nseq", "seq", "mark", "cut", "rest", joined.alias("joined"), compound.alias("compound"))
+    ends = body.filter("mark <> '' and rest <> ''").select("scan_id", "page", "line_id", "npage", "nline", "mark", "cut", "rest", joined.alias("joined"), compound.alias("compound"))
     bare_compound = _bare(F.col("compound"))
     heads = lexicon.select(skeleton(F.col("word")).alias("sk"), "n").groupBy("sk").agg(F.sum("n").alias("n"))
     cheads = compounds.select(skeleton(F.col("word")).alias("skc"), "nc").groupBy("skc").agg(F.sum("nc").alias("nc"))
@@ -168,14 +192,14 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     lower_rest = F.col("rest").rlike(r"(?U)^[\p{Ll}|†@01569ﬁﬂ]") | F.col("cut").rlike(r"(?U)\p{Lu}\p{Lu}$")
     digits = F.col("cut").rlike(r"\d{2}$|^\d+$") | F.col("rest").rlike(r"^\d{2}")
     is_cut = F.when(digits, False).when(soft, True).otherwise(lower_rest & (nc <= n) & ~((n == 0) & (na >= 20) & (nr >= 20)))
-    ends = materialise(ends.select("scan_id", "page", "line_id", "seq", "nseq", "cut", "rest", "joined", is_cut.alias("hyphen")))
+    ends = materialise(ends.select("scan_id", "page", "line_id", "npage", "nline", "cut", "rest", "joined", is_cut.alias("hyphen")))
     # misread words: whole ones and broken ones
-    whole = ends.filter("hyphen").select("scan_id", "page", "line_id", "seq", F.lit(100_000).alias("at"), last.alias("word"), F.lit(None).cast("string").alias("raw"))
-    moved = ends.filter("hyphen").select("scan_id", F.col("nseq").alias("seq"), F.lit(0).alias("at"))
-    parts = parts.join(moved.withColumn("_m", F.lit(True)), ["scan_id", "seq", "at"], "left").filter("_m is null").drop("_m").unionByName(whole.filter(F.length("word") >= 2))
+    whole = ends.filter("hyphen").select("scan_id", "page", "line_id", F.lit(WHOLE).alias("at"), last.alias("word"), F.lit(None).cast("string").alias("raw"))
+    moved = ends.filter("hyphen").select("scan_id", F.col("npage").alias("page"), F.col("nline").alias("line_id"), F.lit(0).alias("at"))
+    parts = parts.join(moved.withColumn("_m", F.lit(True)), ["scan_id", "page", "line_id", "at"], "left").filter("_m is null").drop("_m").unionByName(whole.filter(F.length("word") >= 2))
     forms = lexicon.withColumn("sk", skeleton(F.col("word"))).withColumn("clean", ~F.col("word").rlike(r"[^\p{L}]"))
     main = forms.filter("clean").groupBy("sk").agg(F.max(F.struct("n", "word")).alias("m")).select("sk", F.col("m.word").alias("main"), F.col("m.n").alias("n_main"))
-    order = W.partitionBy("scan_id").orderBy("seq", "at", "word")
+    order = W.partitionBy("scan_id", "page").orderBy("line_id", "at", "word")
     parts = parts.withColumn("before", F.lag("word").over(order)).withColumn("after", F.lead("word").over(order)).withColumn("sk", skeleton(F.col("word")))
     parts = parts.join(lexicon, "word", "left").join(main, "sk", "left")
     pairs = parts.filter(F.col("word") == F.col("main"))
@@ -206,18 +230,20 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     rare, often = F.coalesce("n", F.lit(0)), F.col("n_main")
     sign = F.col("word").rlike(r"[^\p{L}]")
     wrong = ~mail & ~ids & F.when(sign, (F.length("word") >= 3) | (often >= 20)).otherwise(F.col("one") & ((often >= 3 * F.greatest(rare, F.lit(1))) | ((support >= 2) & (often >= 2 * F.greatest(rare, F.lit(1))))))
-    known = asked.filter(wrong).select("scan_id", "page", "line_id", "seq", "at", "word", "raw", F.col("main").alias("right"))
-    unknown = parts.filter(F.col("main").isNull() & odd_shape & ~mail & ~mail_end & ~ids & (F.length("word") >= 3)).select("scan_id", "page", "line_id", "seq", "at", "word", "raw", F.lit(None).cast("string").alias("right"))
+    known = asked.filter(wrong).select("scan_id", "page", "line_id", "at", "word", "raw", F.col("main").alias("right"))
+    unknown = parts.filter(F.col("main").isNull() & odd_shape & ~mail & ~mail_end & ~ids & (F.length("word") >= 3)).select("scan_id", "page", "line_id", "at", "word", "raw", F.lit(None).cast("string").alias("right"))
     bad = known.unionByName(unknown)
     # a broken word is misread in the line that holds the wrong part
-    halves = bad.filter("at = 100000").join(ends.select("scan_id", "seq", "nseq", "cut", "rest"), ["scan_id", "seq"])
+    place = ["scan_id", "page", "line_id"]
+    halves = bad.filter(F.col("at") == WHOLE).join(ends.select(*place, "npage", "nline", "cut", "rest"), place)
     a, b = alone, _bare(F.element_at(F.split(F.lower(F.col("rest")), "-"), 1))
     right = F.coalesce("right", F.regexp_replace("word", _ODD, ""))
     first_ok, second_ok = F.coalesce(right.startswith(a), F.lit(False)) & ~a.rlike(_ODD), F.coalesce(right.endswith(b), F.lit(False)) & ~b.rlike(_ODD)
-    halves = halves.select("scan_id", F.explode(F.filter(F.array(F.when(~first_ok, F.col("seq")), F.when(~second_ok, F.col("nseq"))), lambda x: x.isNotNull())).alias("seq"))
-    flagged = bad.filter("at < 100000").select("scan_id", "seq").unionByName(halves).distinct().withColumn("misread", F.lit(True))
-    swaps = bad.filter("at < 100000 and right is not null").groupBy("scan_id", "seq").agg(F.array_sort(F.collect_set(F.struct("word", "right"))).alias("swaps"))
-    out = body.join(flagged, ["scan_id", "seq"], "left").join(swaps, ["scan_id", "seq"], "left").join(ends.select("scan_id", "seq", "hyphen"), ["scan_id", "seq"], "left")
+    here, there = F.struct("page", "line_id"), F.struct(F.col("npage").alias("page"), F.col("nline").alias("line_id"))
+    halves = halves.select("scan_id", F.explode(F.filter(F.array(F.when(~first_ok, here), F.when(~second_ok, there)), lambda x: x.isNotNull())).alias("w")).select("scan_id", "w.page", "w.line_id")
+    flagged = bad.filter(F.col("at") < WHOLE).select(*place).unionByName(halves).distinct().withColumn("misread", F.lit(True))
+    swaps = bad.filter((F.col("at") < WHOLE) & F.col("right").isNotNull()).groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("word", "right"))).alias("swaps"))
+    out = body.join(flagged, place, "left").join(swaps, place, "left").join(ends.select(*place, "hyphen"), place, "left")
 
     def swap(text: Column, s: Column) -> Column:
         return F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}|†@])(?i:\Q"), s["word"], F.lit(r"\E)(?![\p{L}\p{N}|†@])")), s["right"])
@@ -245,12 +271,17 @@ def paragraphs(blocks: DataFrame, results: DataFrame) -> DataFrame:
     raw = raw.withColumn("gap", F.coalesce(F.lag(F.trim("line") == "").over(full), F.lit(False))).filter("trim(line) <> ''")
     raw = raw.withColumn("k", F.row_number().over(full)).groupBy("scan_id", "page", "k").agg(F.max("gap").alias("gap"))
     rows = lines.join(boxes, ["scan_id", "page", "line_id"], "left").join(raw, ["scan_id", "page", "k"], "left")
-    order = W.partitionBy("scan_id").orderBy("page", "line_id")
-    before = F.lag("text").over(order)
-    turned = F.lag("page").over(order) != F.col("page")
-    ended = before.rlike(r"[.!?:।][\"'”)]*\s*$")
-    start = before.isNull() | F.when(turned, ended).otherwise(F.coalesce("gap", "wide", F.lit(False)))
-    rows = rows.withColumn("para_no", F.sum(F.when(F.coalesce(start, F.lit(False)), 1).otherwise(0)).over(order))
+    order = W.partitionBy("scan_id", "page").orderBy("line_id")
+    rows = materialise(rows.withColumn("ended", F.col("text").rlike(r"[.!?:।][\"'”)]*\s*$")).withColumn("n", F.row_number().over(order)))
+    ends = rows.groupBy("scan_id", "page").agg(F.max(F.struct("line_id", "ended")).alias("e")).select("scan_id", "page", F.col("e.ended").alias("before"))
+    rows = rows.join(_next_page(ends, ["before"], back=True), ["scan_id", "page"], "left")
+    start = F.when(F.col("n") == 1, F.coalesce("before", F.lit(True))).otherwise(F.coalesce("gap", "wide", F.lit(False)))
+    rows = rows.withColumn("start", F.when(start, 1).otherwise(0))
+    # number of the paragraph: those begun on earlier pages and those begun on this one so far
+    begun = rows.groupBy("scan_id", "page").agg(F.sum("start").alias("s"))
+    earlier = W.partitionBy("scan_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    begun = begun.select("scan_id", "page", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("earlier"))
+    rows = rows.join(begun, ["scan_id", "page"]).withColumn("para_no", F.col("earlier") + F.sum("start").over(order))
     part = F.when(F.col("hyphen"), F.regexp_replace(F.rtrim("fixed"), rf"[{HYPHENS}]$", "")).otherwise(F.concat(F.trim("fixed"), F.lit(" ")))
     whole = F.array_sort(F.collect_list(F.struct("page", "line_id", part.alias("p"))))
     return rows.groupBy("scan_id", "para_no").agg(F.min("page").alias("first_page"), F.trim(F.array_join(F.transform(whole, lambda x: x["p"]), "")).alias("text"))
