@@ -1,7 +1,7 @@
 """Entity resolution: blocked comparison of mentions, proposals by connected components, case memory, consolidation.
 
 Blocking keys lose no match: equal identifiers and names meet on the equal key, persons on the first word of the name or an
-alias, organisations on equal names and acronyms; only containment of names is compared within the group.
+alias, organisations on equal names and acronyms, and on the rarest 3-gram of a name that another one may hold.
 """
 
 from __future__ import annotations
@@ -80,20 +80,45 @@ def _keys(m: DataFrame) -> DataFrame:
     return m.withColumn("keys", F.when(e == "PERSON", person).when(e == "ORGANIZATION", org).otherwise(F.array("norm")))
 
 
+def _contained(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """(grp, etype, x, y) of organisations of one group of which one's normal name holds the other's, without comparing all.
+
+    A name that is held has all its 3-grams in the holder; the one that the fewest names of the group have is the join key.
+    Names of one or two letters are their own key.
+    """
+    side = lambda df: df.filter("etype = 'ORGANIZATION' and norm <> ''").select("grp", "etype", F.struct("node", "norm", "parts", "acr", *ATTRIBUTES).alias("z"), "norm")
+
+    def grams(q: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - q + 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(q))))
+
+    def held(holders: DataFrame, shorter: DataFrame) -> DataFrame:
+        index = side(holders).select("grp", "etype", F.col("z").alias("big"), F.explode(F.array_union(F.array_union(grams(1), grams(2)), grams(3))).alias("q"))
+        often = index.groupBy("grp", "q").agg(F.count("*").alias("n"))
+        own = side(shorter).withColumn("q", F.explode(F.when(F.length("norm") < 3, F.array("norm")).otherwise(grams(3))))
+        rare = own.join(often, ["grp", "q"]).groupBy("grp", "etype", "z").agg(F.min(F.struct("n", "q")).alias("m"))
+        rare = rare.select("grp", "etype", F.col("z").alias("small"), F.col("m.q").alias("q"))
+        return rare.join(index, ["grp", "etype", "q"]).filter(F.col("big.norm").contains(F.col("small.norm")) & (F.col("big.node") != F.col("small.node"))).drop("q")
+
+    if same:
+        found = held(left, left)
+        first = F.col("small.node") < F.col("big.node")
+        return found.select("grp", "etype", F.when(first, F.col("small")).otherwise(F.col("big")).alias("x"), F.when(first, F.col("big")).otherwise(F.col("small")).alias("y"))
+    one = held(right, left).select("grp", "etype", F.col("small").alias("x"), F.col("big").alias("y"))
+    return one.unionByName(held(left, right).select("grp", "etype", F.col("big").alias("x"), F.col("small").alias("y")))
+
+
 def compare(mentions: DataFrame, known: DataFrame | None = None, contained: bool = True, fuzzy: bool = True) -> DataFrame:
     """(grp, a, b, confidence, signals): pairs of mentions of one group that may be one entity.
 
     ``mentions``: output of ``attributes``; with ``known``, of the same columns, each mention is compared with the known ones
-    instead of with each other (a is the mention). ``contained`` also compares organisations by containment of names, a join
-    within the group; ``fuzzy`` allows person names that are merely similar.
+    instead of with each other (a is the mention). ``contained`` also finds organisations by containment of names; ``fuzzy`` allows person names that are merely similar.
     """
     left = _keys(mentions)
     right = left if known is None else _keys(known)
     side = lambda df, s: df.select("grp", "etype", F.struct("node", "norm", "parts", "acr", *ATTRIBUTES).alias(s), F.explode("keys").alias("k"))
     pairs = side(left, "x").join(side(right, "y"), ["grp", "etype", "k"])
     if contained:
-        orgs = lambda df, s: df.filter("etype = 'ORGANIZATION' and norm <> ''").select("grp", "etype", F.struct("node", "norm", "parts", "acr", *ATTRIBUTES).alias(s))
-        inside = orgs(left, "x").join(orgs(right, "y"), ["grp", "etype"]).filter(F.col("y.norm").contains(F.col("x.norm")) | F.col("x.norm").contains(F.col("y.norm")))
+        inside = _contained(left, right, known is None)
         pairs = pairs.drop("k").unionByName(inside)
     pairs = pairs.filter(F.col("x.node") < F.col("y.node")) if known is None else pairs
     pairs = pairs.select("grp", "etype", "x", "y").dropDuplicates(["grp", "x", "y"])
