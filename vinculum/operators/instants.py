@@ -13,6 +13,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.session import materialise
+
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
@@ -193,12 +195,14 @@ def normalise_instants(
 def same_instant_pairs(df: DataFrame, record: str, text: str, row: str) -> DataFrame:
     """Pairs (row_a, row_b) of rows with equal non-null ``record`` and equal instant whose texts differ; row_a < row_b.
 
-    Input is the output of ``normalise_instants``. Groups in which all texts are equal are sorted out by a partial
-    aggregation before anything is joined, so a group of copies costs nothing.
+    Input is the output of ``normalise_instants``; its few columns are written once to the shared folder, as three plans read
+    them. Groups in which all texts are equal are sorted out by a partial aggregation before anything is joined, so a group of
+    copies costs nothing.
     """
     rows = df.filter(F.col(record).isNotNull() & F.col("instant_us").isNotNull()).select(
         F.col(record).alias("_r"), "instant_us", F.col(text).alias("_x"), F.col(row).alias("_row")
     )
+    rows = materialise(rows)
     keys = rows.groupBy("_r", "instant_us").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter("_lo <> _hi").select("_r", "instant_us")
     rows = rows.join(keys, ["_r", "instant_us"], "left_semi")
     a = rows.select("_r", "instant_us", F.col("_x").alias("_xa"), F.col("_row").alias("row_a"))
