@@ -171,3 +171,65 @@ def consolidate(nodes: DataFrame, edges: DataFrame, merged: DataFrame) -> tuple[
     best = W.partitionBy("src", "tgt", "type").orderBy(F.col("confidence").desc(), "edge_id")
     kept = edges.filter(whole & (F.col("src") != F.col("tgt"))).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
     return left, kept.unionByName(edges.filter(~F.coalesce(whole, F.lit(False))).select(*kept.columns))
+
+
+@F.pandas_udf(T.StringType())
+def titled(name: pd.Series) -> pd.Series:
+    """Each run of letters capitalised; null stays null."""
+    return name.map(lambda n: None if n is None else n.title())
+
+
+def storage_key(name: Column, kind: Column) -> Column:
+    """Identifier as stored: phones keep plus and digits, accounts lose blanks, vehicles too in upper case."""
+    stored = text.storage_identifier(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), kind)
+    return F.when(kind == "VEHICLE", F.upper(stored)).otherwise(stored)
+
+
+def equivalent(entities: DataFrame) -> DataFrame:
+    """(grp, a, b, best_name): entities (grp, node, etype, name) of one group and type that the stricter rule holds to be one.
+
+    Identifiers by their stored form, places and organisations by normal name (organisations by acronym, too, never by
+    containment), events without case. Persons by alias, normal name, or equal first word and one name beginning with the
+    other; a single first name only where at most one full name of the group begins with it. The longer name is the best.
+    """
+    n, e = F.col("name"), F.col("etype")
+    strong = e.isin("PHONE", "BANK_ACCOUNT", "VEHICLE")
+    norm = F.when(strong, storage_key(n, e)).when(e == "LOCATION", text.match_location(n)).when(e == "ORGANIZATION", text.match_org(n)).when(e == "PERSON", text.match_person(n)).otherwise(F.lower(F.trim(n)))
+    m = entities.select("grp", "node", "etype", "name", norm.alias("norm")).filter("norm is not null")
+    m = m.withColumn("acr", F.when(e == "ORGANIZATION", _acronym(F.col("norm")))).withColumn("parts", F.when(e == "PERSON", F.transform(text.alias_parts(n), lambda p: text.match_person(p))))
+    word = F.split("norm", " ")
+    m = m.withColumn("words", F.when(e == "PERSON", F.size(word)))
+    person = F.array_distinct(F.concat(F.array(word[0]), F.transform("parts", lambda p: p)))
+    org = F.array_distinct(F.filter(F.array(F.col("norm"), F.when(F.length("acr") >= 2, F.col("acr"))), lambda k: k.isNotNull()))
+    m = m.withColumn("k", F.explode(F.filter(F.when(e == "PERSON", person).when(e == "ORGANIZATION", org).otherwise(F.array("norm")), lambda k: k != "")))
+    full = m.filter("etype = 'PERSON' and words >= 2").groupBy("grp", F.split("norm", " ")[0].alias("first")).agg(F.count_distinct("norm").alias("fulls"))
+    cols = ["node", "name", "norm", "acr", "parts", "words"]
+    x, y = m.select("grp", "etype", "k", F.struct(*cols).alias("x")), m.select("grp", "etype", "k", F.struct(*cols).alias("y"))
+    p = x.join(y, ["grp", "etype", "k"]).filter("x.node < y.node").drop("k").dropDuplicates(["grp", "x", "y"])
+    p = p.withColumn("first", F.split("x.norm", " ")[0]).join(full, ["grp", "first"], "left")
+    a, b = F.col("x.norm"), F.col("y.norm")
+    alias = ((F.size("x.parts") > 1) | (F.size("y.parts") > 1)) & F.exists("x.parts", lambda q: F.array_contains("y.parts", q) & (q != ""))
+    heads = (F.split(a, " ")[0] == F.split(b, " ")[0]) & (a != "") & (b != "")
+    begins = F.concat(a, F.lit(" ")).startswith(F.concat(b, F.lit(" "))) | F.concat(b, F.lit(" ")).startswith(F.concat(a, F.lit(" ")))
+    both_full = (F.col("x.words") >= 2) & (F.col("y.words") >= 2)
+    single = (F.col("x.words") == 1) != (F.col("y.words") == 1)
+    human = F.coalesce(alias, F.lit(False)) | ((a == b) & (a != "")) | (heads & begins & (both_full | (single & (F.coalesce("fulls", F.lit(0)) <= 1))))
+    kin = F.when(e == "PERSON", human).when(e == "ORGANIZATION", F.lit(True)).otherwise(a == b)
+    longer = F.when(F.length("x.name") >= F.length("y.name"), F.col("x.name")).otherwise(F.col("y.name"))
+    best = F.when((e == "PERSON") & (a == b) & ~F.coalesce(alias, F.lit(False)), titled(a)).when(strong, a).when(e == "EVENT", F.col("x.name")).otherwise(longer)
+    return p.filter(kin).select("grp", F.col("x.node").alias("a"), F.col("y.node").alias("b"), best.alias("best_name"))
+
+
+def resolve_canonical(new: DataFrame, known: DataFrame) -> DataFrame:
+    """New mentions (grp, node, etype, name, existing) with ``entity``: the existing entity, else the smallest equivalent known one
+    of the group, else the oldest known one anywhere with the same stored identifier, else a minted id.
+
+    known: grp, node, etype, name, created_at. Minted ids are the same for the same type and stored name."""
+    key = storage_key(F.col("name"), F.col("etype"))
+    fresh = new.filter("existing is null").select("grp", F.concat(F.lit("~"), "node").alias("node"), "etype", "name")
+    pairs = equivalent(known.select("grp", "node", "etype", "name").unionByName(fresh))
+    local = pairs.filter(F.col("b").startswith("~") & ~F.col("a").startswith("~")).groupBy("grp", F.substring("b", 2, 1_000_000).alias("node")).agg(F.min("a").alias("_local"))
+    strong = known.filter(F.col("etype").isin("PHONE", "BANK_ACCOUNT", "VEHICLE")).groupBy("etype", key.alias("_key")).agg(F.min(F.struct("created_at", "node")).alias("m"))
+    rows = new.withColumn("_key", key).join(local, ["grp", "node"], "left").join(strong.select("etype", "_key", F.col("m.node").alias("_global")), ["etype", "_key"], "left")
+    minted = F.left(F.sha2(F.concat_ws("|", "etype", "_key"), 256), F.lit(32))
+    return rows.select(*new.columns, F.coalesce("existing", "_local", "_global", minted).alias("entity"))

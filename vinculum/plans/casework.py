@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vinculum import schemas
 from vinculum.functions import text
-from vinculum.operators import evidence, extraction, graph, integrity, patterns, references, relations, resolution, validation
+from vinculum.operators import casebook, evidence, extraction, graph, integrity, patterns, references, relations, resolution, validation
 from vinculum.operators.components import connected_components
 from vinculum.session import materialise, table
 
@@ -341,6 +341,36 @@ def orphan_explanations(spark, d):
     return graph.explain_isolated(_entities(spark, d), e.filter("status = 'CONFIRMED'"), e)
 
 
+@query("entity_connections", f"{_W} SELECT nb.node, nb.other, edg.type, ent.etype, coalesce(ent.name, 'Unknown') AS name, nb.direction, nb.edge_id FROM nb JOIN edg USING (edge_id) LEFT JOIN ent ON ent.node = nb.other")
+def entity_connections(spark, d):
+    return casebook.connections(_edges(spark, d), _entities(spark, d))
+
+
+@query(
+    "entity_profiles",
+    f"{_W}, c AS (SELECT nb.node, ent.etype, ent.name FROM nb JOIN ent ON ent.node = nb.other) SELECT ent.node, "
+    + ", ".join(f"coalesce(list_sort(list(DISTINCT c.name) FILTER (WHERE c.etype = '{k}')), []) AS {n}" for n, k in (("phone_numbers", "PHONE"), ("locations", "LOCATION"), ("vehicles", "VEHICLE"), ("organizations", "ORGANIZATION")))
+    + " FROM ent LEFT JOIN c ON c.node = ent.node GROUP BY ent.node",
+)
+def entity_profiles(spark, d):
+    """Names of each entity's neighbours by type."""
+    e = _entities(spark, d)
+    none = e.select("node", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("filename")).limit(0)
+    return casebook.profiles(e, none, casebook.connections(_edges(spark, d), e)).select("node", "phone_numbers", "locations", "vehicles", "organizations")
+
+
+@query(
+    "projected_graph",
+    f"{_W}, v AS (SELECT DISTINCT node, case_id FROM ent), e AS (SELECT src, tgt FROM rel) SELECT (SELECT count(*) FROM v) AS vertices, count(*) FILTER (WHERE src IS NOT NULL AND tgt IS NOT NULL) AS projected, count(*) FILTER (WHERE src IS NULL OR tgt IS NULL) AS skipped FROM e",
+)
+def projected_graph(spark, d):
+    """Counts of a projection of all cases into an empty graph."""
+    v = _entities(spark, d).select("node", "case_id")
+    e = _relationships(spark, d).withColumnRenamed("rel_id", "edge_id").select("edge_id", "src", "tgt", "case_id")
+    nv, _, n = casebook.project_graph(v, e, v.limit(0), e.limit(0))
+    return nv.agg(F.count("*").alias("vertices")).crossJoin(n.select("projected", "skipped"))  # two tables of one row each
+
+
 # --- evidence ------------------------------------------------------------------------------------------------------------
 
 
@@ -538,6 +568,12 @@ def consolidated_edges(spark, d):
     return resolution.consolidate(_entities(spark, d), edges, merged)[1]
 
 
+@query("equivalent_entities")
+def equivalent_entities(spark, d):
+    """Pairs of a case's entities that the stricter rule holds to be one, with the better name."""
+    return resolution.equivalent(_entities(spark, d).withColumnRenamed("case_id", "grp"))
+
+
 # --- integrity -----------------------------------------------------------------------------------------------------------
 
 
