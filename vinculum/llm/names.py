@@ -137,10 +137,20 @@ def tune_bands(similarity: float, recall: float, most: int = 96) -> tuple[int, i
     return best
 
 
-def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.95, q: int = 2) -> DataFrame:
-    """(a, b, distance) for distinct words of the column ``word``, a <> b, both ways, within one error (two from seven letters on).
+def _sound_columns() -> list:
+    """The forms of column ``word`` that ``distance`` compares, as column expressions."""
+    s = F.col("word")
+    for spelling, letter in (("w", "v"), ("ee", "i"), ("oo", "u"), ("au", "o"), ("ph", "f")):
+        s = F.replace(s, F.lit(spelling), F.lit(letter))
+    s = F.regexp_replace(s, "ck|c(?!h)|q", "k")
+    return [F.col("word"), s, F.regexp_replace(s, r"(.)\1+", "$1")]
 
-    Candidates share a MinHash band of their padded q-grams; the distance counts a transposition once.
+
+def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.95, q: int = 2, by: str | None = None) -> DataFrame:
+    """(a, b, d) for distinct words of the column ``word``, a <> b, both ways, within one error (two from seven letters on).
+
+    Candidates share a MinHash band of their padded q-grams; with ``by`` only words that meet in one group are compared. The
+    distance counts a transposition once and is computed once for each pair of words.
     """
     bands, rows = tune_bands(similarity, recall)
     padded = F.concat(F.lit("#" * (q - 1)), F.col("word"), F.lit("#" * (q - 1)))
@@ -151,19 +161,29 @@ def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.9
 
     mins = [smallest(k) for k in range(bands * rows)]
     keys = F.array(*[F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)])
-    banded = words.filter("word <> ''").select("word").distinct().withColumn("grams", grams).select("word", F.explode(keys).alias("band"))
-    a, b = banded.withColumnRenamed("word", "a"), banded.withColumnRenamed("word", "b")
-    close = F.abs(F.length("a") - F.length("b")) <= 2
-    pairs = a.join(b, "band").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    pairs = pairs.filter(F.levenshtein("a", "b", 5) >= 0)
+    distinct = words.filter("word <> ''").select("word").distinct()
+    banded = materialise(distinct.withColumn("grams", grams).select(F.struct("word", F.array(*_sound_columns()).alias("s")).alias("w"), keys.alias("keys")))
+    if by:
+        group = words.filter("word <> ''").select(F.col(by).alias("_g"), "word").distinct()
+        banded = group.join(banded.withColumn("word", F.col("w.word")), "word").select("_g", "w", F.explode("keys").alias("band"))
+    else:
+        banded = banded.select(F.lit(0).alias("_g"), "w", F.explode("keys").alias("band"))
+    a, b = banded.withColumnRenamed("w", "x"), banded.withColumnRenamed("w", "y")
+    sizes = F.length("x.word"), F.length("y.word")
+    pairs = a.join(b, ["_g", "band"]).filter((F.col("x.word") < F.col("y.word")) & (F.abs(sizes[0] - sizes[1]) <= 4))
+    most = F.when(F.least(*sizes) >= 7, 2).otherwise(1)
+    near = F.lit(False)
+    for k in range(3):  # within twice the limit by plain edit distance, which counts a transposition as two
+        near |= F.levenshtein(F.col("x.s")[k], F.col("y.s")[k], 4).between(0, 2 * most)
+    pairs = pairs.filter(near).select(F.col("x.word").alias("a"), F.col("y.word").alias("b")).distinct()
 
     def verify(frames):
         for f in frames:
-            rows = [(x, y, distance(x, y)) for x, y in zip(f["a"], f["b"])]
+            rows = [(x, y, distance(x, y, 2)) for x, y in zip(f["a"], f["b"])]
             rows = [r for r in rows if r[2] <= (2 if min(len(r[0]), len(r[1])) >= 7 else 1) and min(len(r[0]), len(r[1])) >= 3]
             yield pd.DataFrame(rows, columns=["a", "b", "d"]).astype({"a": object, "b": object, "d": "int32"})
 
-    found = pairs.mapInPandas(verify, "a string, b string, d int")
+    found = materialise(pairs.mapInPandas(verify, "a string, b string, d int"))
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
@@ -175,7 +195,7 @@ def common_spelling(words: DataFrame) -> DataFrame:
     """
     words = materialise(words)
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("all")))
-    near = similar_words(counts)
+    near = similar_words(words, by="g")
     near = near.join(counts.select(F.col("word").alias("a"), F.col("all").alias("na")), "a").join(counts.select(F.col("word").alias("b"), F.col("all").alias("nb")), "b")
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
     near = near.filter((F.col("d") == 0) | ~((low >= 4) & (low * 10 >= high)))
