@@ -246,7 +246,8 @@ def _stars(members: DataFrame, key: list[str], least: float) -> DataFrame:
 
 
 def link_names(names: DataFrame, owners: DataFrame, group: str = "case_id", least: float = 0.7) -> DataFrame:
-    """(``group``, name, entity): every distinct name of every group with the id of its entity within the group.
+    """(``group``, name, entity): every distinct name of every group with the id of its entity within the group; a name of one
+    word, such as a nickname, that several entities share has a row for each.
 
     ``names``: ``group``, name. ``owners``: ``group``, name, owner: names that are known to be one owner's. Rows with null or
     blank names or a null group are left out, copies count once, other columns are ignored, empty tables give an empty one.
@@ -327,15 +328,27 @@ def link_names(names: DataFrame, owners: DataFrame, group: str = "case_id", leas
     acronyms = nodes.filter("kind = 'A'").select("g", "node", "code")
     coded = org.filter("code <> ''").join(stars, "node").select("g", "code", "centre").distinct()
     links.append(_only_one(acronyms.join(coded, ["g", "code"])))
-    # what is known to be one owner's
-    mine = known.join(nodes.select("g", "name", "node"), ["g", "name"])
-    links.append(mine.select(F.col("node").alias("a"), F.min("node").over(W.partitionBy("g", "owner")).alias("b")))
+    # what is known to be one owner's, around a name of several words where there is one
+    lonely = person.filter("size = 1").select("node").withColumn("_lone", F.lit(True))
+    mine = known.join(nodes.select("g", "name", "node"), ["g", "name"]).join(lonely, "node", "left")
+    centre = mine.groupBy("g", "owner").agg(F.min(F.struct(F.coalesce("_lone", F.lit(False)).alias("l"), "node")).alias("m"))
+    links.append(mine.join(centre, ["g", "owner"]).select(F.col("node").alias("a"), F.col("m.node").alias("b")))
     edges = links[0]
     for x in links[1:]:
         edges = edges.unionByName(x.select("a", "b"))
-    roots = connected_components(edges)
-    out = nodes.join(roots, "node", "left").select(F.col("g").alias(group), "name", F.coalesce("root", "node").alias("entity"))
-    return out
+    edges = edges.filter("a <> b").distinct()
+    flag = lambda df, c: df.join(lonely.select(F.col("node").alias(c), F.col("_lone").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", F.lit(False)))
+    edges = materialise(flag(flag(edges, "a"), "b"))
+    # a lone word may name several entities: it joins each, but doesn't join them to each other
+    one_lone = edges.filter("la <> lb").select(F.when(F.col("la"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("la"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    held = one_lone.select("node").distinct()
+    apart = edges.filter("la and lb").join(held.select(F.col("node").alias("a")), "a", "left_anti").join(held.select(F.col("node").alias("b")), "b", "left_anti")
+    roots = materialise(connected_components(edges.filter("not la and not lb").select("a", "b").unionByName(apart.select("a", "b"))))
+    other = roots.select(F.col("node").alias("other"), "root")
+    joined = one_lone.join(other, "other", "left").select("node", F.coalesce("root", "other").alias("entity")).distinct()
+    rest = nodes.join(held, "node", "left_anti").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("entity"))
+    member = rest.unionByName(joined)
+    return nodes.select("node", F.col("g").alias(group), "name").join(member, "node").select(group, "name", "entity")
 
 
 def _only_one(fits: DataFrame) -> DataFrame:
