@@ -53,3 +53,8 @@ def test_claims(spark):
     staged = spark.createDataFrame([(1, 10, True), (2, 10, False), (3, 10, False), (4, 13, False)], "row_no int, document int, has_null boolean")
     broken = spark.createDataFrame([(2,), (2,)], "row_no int")
     assert {r.row_no for r in R.wrong_claims(claims, staged, broken).collect()} == {4, 6}
+
+
+def test_any_stored_row_of_a_parent_resolves(spark):
+    s = R.first_state(refs(spark, [("t", 1, "f", "a", T(5))]), parents(spark, [("a", T(1), T(3)), ("a", T(1), None)]))
+    assert orphans(s) == set()

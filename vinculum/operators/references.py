@@ -83,10 +83,13 @@ def advance(state: OrphanState, references: DataFrame, parents: DataFrame, cut:
 
 
 def first_state(references: DataFrame, parents: DataFrame) -> OrphanState:
-    """The state after one batch that holds everything; the same rows as ``advance`` from the empty state, without the
-    lookups in an empty table."""
+    """The state after one batch that holds everything, without the lookups in an empty table.
+
+    Parent rows count as they are stored: a reference is resolved if any row of its key lives at its time. So a row stored
+    twice, once with and once without an end, resolves; in ``advance`` a later end of a span closes it.
+    """
     references = references.filter("key is not null")
-    spans = parents.filter("key is not null and born is not null").groupBy("key", "born").agg(F.min("gone").alias("gone"))
+    spans = parents.filter("key is not null and born is not null").select("key", "born", "gone").distinct()
     return OrphanState(spans, probe(references, spans))
 
 

@@ -26,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it once to the shared folder as Parquet and read it again.
 
-    Survives the loss of executors (the files are on shared storage) and computes the plan exactly once.
+    Survives the loss of executors (the files are on shared storage) and computes the plan exactly once. The driver's garbage
+    is collected then, as Spark drops shuffle files and broadcasts of what was cut only when their plans are.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
