@@ -167,15 +167,19 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     body = materialise(_body(lines).withColumnRenamed("role", "_role"))
     joined = F.lower(F.concat("cut", "rest"))
     compound = F.lower(F.concat(F.col("cut"), F.lit("-"), F.col("rest")))
-    # all words in their places; the parts of a broken word stand as the whole word, once
+    # all words in their places, with the words beside them; a broken word stands once, as a whole
     tokens = F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda w: w != "")
-    spots = body.select("scan_id", "page", "line_id", "mark", "cut", "rest", F.posexplode(tokens).alias("at", "raw"), F.size(tokens).alias("size"))
+    beside = F.transform("tokens", lambda w, i: F.struct(w.alias("raw"), F.get("tokens", i - 1).alias("before"), F.get("tokens", i + 1).alias("after")))
+    spots = body.select("scan_id", "page", "line_id", "mark", tokens.alias("tokens")).select("scan_id", "page", "line_id", "mark", F.posexplode(beside).alias("at", "t"), F.size("tokens").alias("size"))
     inside = ~((F.col("mark") != "") & (F.col("at") == F.col("size") - 1))
-    parts = spots.filter(inside).select("scan_id", "page", "line_id", "at", F.explode(F.split(F.lower(_bare(F.col("raw"))), r"[-/‐]")).alias("word"), "raw")
-    parts = parts.filter(F.length("word") >= 2)
+    split = lambda c: F.split(F.lower(_bare(c)), r"[-/‐]")
+    parts = spots.filter(inside).select(
+        "scan_id", "page", "line_id", "at", F.explode(split(F.col("t.raw"))).alias("word"), F.col("t.raw").alias("raw"),
+        F.element_at(split(F.col("t.before")), -1).alias("before"), F.element_at(split(F.col("t.after")), 1).alias("after"),
+    ).filter(F.length("word") >= 2)
     lexicon = materialise(parts.groupBy("word").agg(F.count("*").alias("n")))
     compounds = materialise(
-        spots.filter(inside).select(F.lower(_bare(F.col("raw"))).alias("word")).filter(F.col("word").rlike(r"(?U)\p{L}-\p{L}")).groupBy("word").agg(F.count("*").alias("nc"))
+        spots.filter(inside).select(F.lower(_bare(F.col("t.raw"))).alias("word")).filter(F.col("word").rlike(r"(?U)\p{L}-\p{L}")).groupBy("word").agg(F.count("*").alias("nc"))
     )
     # broken words
     ends = body.filter("mark <> '' and rest <> ''").select("scan_id", "page", "line_id", "npage", "nline", "mark", "cut", "rest", joined.alias("joined"), compound.alias("compound"))
@@ -194,25 +198,17 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     is_cut = F.when(digits, False).when(soft, True).otherwise(lower_rest & (nc <= n) & ~((n == 0) & (na >= 20) & (nr >= 20)))
     ends = materialise(ends.select("scan_id", "page", "line_id", "npage", "nline", "cut", "rest", "joined", is_cut.alias("hyphen")))
     # misread words: whole ones and broken ones
-    whole = ends.filter("hyphen").select("scan_id", "page", "line_id", F.lit(WHOLE).alias("at"), last.alias("word"), F.lit(None).cast("string").alias("raw"))
+    # words are judged once each; only occurrences of suspects are looked at again
+    none = F.lit(None).cast("string")
+    whole = ends.filter("hyphen").select("scan_id", "page", "line_id", F.lit(WHOLE).alias("at"), last.alias("word"), none.alias("raw"), none.alias("before"), none.alias("after")).filter(F.length("word") >= 2)
     moved = ends.filter("hyphen").select("scan_id", F.col("npage").alias("page"), F.col("nline").alias("line_id"), F.lit(0).alias("at"))
-    parts = parts.join(moved.withColumn("_m", F.lit(True)), ["scan_id", "page", "line_id", "at"], "left").filter("_m is null").drop("_m").unionByName(whole.filter(F.length("word") >= 2))
-    forms = lexicon.withColumn("sk", skeleton(F.col("word"))).withColumn("clean", ~F.col("word").rlike(r"[^\p{L}]"))
-    main = forms.filter("clean").groupBy("sk").agg(F.max(F.struct("n", "word")).alias("m")).select("sk", F.col("m.word").alias("main"), F.col("m.n").alias("n_main"))
-    order = W.partitionBy("scan_id", "page").orderBy("line_id", "at", "word")
-    parts = parts.withColumn("before", F.lag("word").over(order)).withColumn("after", F.lead("word").over(order)).withColumn("sk", skeleton(F.col("word")))
-    parts = parts.join(lexicon, "word", "left").join(main, "sk", "left")
-    pairs = parts.filter(F.col("word") == F.col("main"))
-    left = pairs.groupBy("main", F.col("before").alias("before")).agg(F.count("*").alias("n_before"))
-    right = pairs.groupBy("main", F.col("after").alias("after")).agg(F.count("*").alias("n_after"))
-    asked = parts.filter(F.col("main").isNotNull() & (F.col("main") != F.col("word")))
+    forms = lexicon.withColumn("sk", skeleton(F.col("word")))
+    clean = forms.filter(~F.col("word").rlike(r"[^\p{L}]"))
+    main = clean.groupBy("sk").agg(F.max(F.struct("n", "word")).alias("m")).select("sk", F.col("m.word").alias("main"), F.col("m.n").alias("often"))
+    words = forms.unionByName(whole.select("word").distinct().join(lexicon.select("word"), "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n")).withColumn("sk", skeleton(F.col("word"))))
+    words = words.join(main, "sk", "left").filter(F.col("main").isNull() | (F.col("main") != F.col("word")))
     odd_shape = F.col("word").rlike(rf"(?U)\p{{L}}{_ODD}|{_ODD}\p{{L}}|^[0-9]?\p{{L}}*\p{{Ll}}[015 69]\p{{L}}+$|^[1569]\p{{Ll}}{{3,}}$")
-    mail = F.coalesce(F.col("raw").rlike(r"@[^\s]*\.[^\s.]|[._+\d][^\s@]*@|@.*@"), F.lit(False))
-    mail_end = F.coalesce(F.col("raw").rlike(r"[\w.+\-]{3,}@[\w\-]{3,}$"), F.lit(False))  # cut by the line's end
     ids = F.col("word").rlike(r"\d{2}|^\d|\d$") & (F.length(F.regexp_replace("word", r"\D", "")) * 2 > F.length("word"))
-    # letters misread as letters: one class of glyphs, at one place or at all
-    turned = asked.select("word", "main").distinct()
-    ways = [*CONFUSED, ("rn", "m"), ("cl", "d")]
 
     def at_one(glyph: str, read: str) -> Column:
         m = F.col("main")
@@ -221,18 +217,29 @@ def repair_lines(lines: DataFrame) -> DataFrame:
         here = lambda i: F.substring(m, i, F.lit(len(glyph))) == glyph
         return (F.replace(m, F.lit(glyph), F.lit(read)) == F.col("word")) | F.exists(spots, lambda i: here(i) & (made(i) == F.col("word")))
 
-    one = F.lit(False)
-    for glyph, read in ways:
+    one = F.lit(False)  # letters misread as letters: one class of glyphs, at one place or at all
+    for glyph, read in [*CONFUSED, ("rn", "m"), ("cl", "d")]:
         one |= F.col("main").contains(glyph) & at_one(glyph, read)
-    asked = asked.join(turned.withColumn("one", one), ["word", "main"])
-    asked = asked.join(left, ["main", "before"], "left").join(right, ["main", "after"], "left")
-    support = F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0))
-    rare, often = F.coalesce("n", F.lit(0)), F.col("n_main")
-    sign = F.col("word").rlike(r"[^\p{L}]")
-    wrong = ~mail & ~ids & F.when(sign, (F.length("word") >= 3) | (often >= 20)).otherwise(F.col("one") & ((often >= 3 * F.greatest(rare, F.lit(1))) | ((support >= 2) & (often >= 2 * F.greatest(rare, F.lit(1))))))
-    known = asked.filter(wrong).select("scan_id", "page", "line_id", "at", "word", "raw", F.col("main").alias("right"))
-    unknown = parts.filter(F.col("main").isNull() & odd_shape & ~mail & ~mail_end & ~ids & (F.length("word") >= 3)).select("scan_id", "page", "line_id", "at", "word", "raw", F.lit(None).cast("string").alias("right"))
-    bad = known.unionByName(unknown)
+    sign, rare = F.col("word").rlike(r"[^\p{L}]"), F.greatest("n", F.lit(1))
+    verdict = (
+        F.when(ids, None)
+        .when(F.col("main").isNull(), F.when(odd_shape & (F.length("word") >= 3), "odd"))
+        .when(sign, F.when((F.length("word") >= 3) | (F.col("often") >= 20), "sure"))
+        .when((F.col("often") >= 2 * rare) & one, F.when(F.col("often") >= 3 * rare, "sure").otherwise("maybe"))
+    )
+    suspects = materialise(words.withColumn("verdict", verdict).filter("verdict is not null").select("word", "main", "verdict"))
+    found = parts.join(suspects, "word").join(moved, ["scan_id", "page", "line_id", "at"], "left_anti").unionByName(whole.join(suspects, "word").select("word", *[c for c in parts.columns if c != "word"], "main", "verdict"))
+    mail = F.coalesce(F.col("raw").rlike(r"@[^\s]*\.[^\s.]|[._+\d][^\s@]*@|@.*@"), F.lit(False))
+    mail_end = F.coalesce(F.col("raw").rlike(r"[\w.+\-]{3,}@[\w\-]{3,}$"), F.lit(False))  # cut by the line's end
+    found = materialise(found.filter(~mail & ((F.col("verdict") != "odd") | ~mail_end)))
+    # context: how often the words beside a doubtful one stand beside its frequent form
+    doubt = found.filter("verdict = 'maybe'")
+    seen = parts.join(doubt.select(F.col("main").alias("word")).distinct(), "word", "left_semi")
+    left = seen.groupBy(F.col("word").alias("main"), "before").agg(F.count("*").alias("n_before"))
+    right = seen.groupBy(F.col("word").alias("main"), "after").agg(F.count("*").alias("n_after"))
+    doubt = doubt.join(left, ["main", "before"], "left").join(right, ["main", "after"], "left").filter(F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0)) >= 2)
+    columns = ["scan_id", "page", "line_id", "at", "word", "raw", F.col("main").alias("right")]
+    bad = found.filter("verdict <> 'maybe'").select(*columns).unionByName(doubt.select(*columns))
     # a broken word is misread in the line that holds the wrong part
     place = ["scan_id", "page", "line_id"]
     halves = bad.filter(F.col("at") == WHOLE).join(ends.select(*place, "npage", "nline", "cut", "rest"), place)
