@@ -65,6 +65,21 @@ def _number(text: Column) -> Column:
     return F.when(raw == "", None).when(raw.rlike("[0-9]") | (raw.isin("l", "|", "o")), arabic.try_cast("bigint")).otherwise(F.when(roman > 0, roman))
 
 
+def _masked(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(scan_id, page, line_id, edge, part, key2): the lines' keys with all words but the known ones (column w) masked, as a whole
+    and their first and last three words; lines without known word are left out."""
+    line = ["scan_id", "page", "line_id", "edge"]
+    words = lines.select(*line, F.posexplode(F.split("key", " ")).alias("at", "w")).join(known.withColumn("k", F.lit(True)), "w", "left")
+    rows = words.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("k"), F.col("w")).otherwise(F.lit("*")).alias("w")))).alias("ws"), F.count_if("k").alias("n"))
+    text_of = lambda ws: F.array_join(F.transform(ws, lambda x: x["w"]), " ")
+    keys = F.array(
+        F.struct(F.lit("whole").alias("part"), text_of(F.col("ws")).alias("key2")), F.struct(F.lit("first").alias("part"), text_of(F.slice("ws", 1, 3)).alias("key2")),
+        F.when(F.size("ws") > 3, F.struct(F.lit("last").alias("part"), text_of(F.slice("ws", -3, 3)).alias("key2"))),
+    )
+    keys = F.filter(keys, lambda x: x.isNotNull() & x["key2"].rlike(r"[a-z|†@0159]{2}"))
+    return rows.filter("n > 0").select(*line, F.explode(keys).alias("x")).select(*line, "x.part", "x.key2")
+
+
 def classify(blocks: DataFrame, near: int = 3, least_known: int = 5) -> DataFrame:
     """Lines with ``role`` 'header', 'page_number' or 'body'.
 
@@ -82,30 +97,30 @@ def classify(blocks: DataFrame, near: int = 3, least_known: int = 5) -> DataFram
     # words by the scans that hold them
     words = lines.select("scan_id", F.explode(F.split("key", " ")).alias("w")).filter("w <> ''").distinct()
     known = words.groupBy("w").agg(F.count("*").alias("scans")).filter(F.col("scans") >= least_known).select("w")
-    spots = lines.filter(F.col("edge") <= near).select("scan_id", "page", "line_id", F.posexplode(F.split("key", " ")).alias("at", "w"))
-    # only keys seen at an edge can be headers; the masked form is made for all lines that share their first known words
-    every = lines.select("scan_id", "page", "line_id", "edge", "is_number", F.posexplode(F.split("key", " ")).alias("at", "w"))
-    edge_words = spots.select("scan_id", "page", "line_id").distinct()
-    masked = every.join(known.withColumn("k", F.lit(True)), "w", "left").groupBy("scan_id", "page", "line_id", "edge", "is_number").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(F.col("k"), F.col("w")).otherwise(F.lit("*")).alias("w")))).alias("ws"),
-        F.count_if("k").alias("n_known"),
-    )
-    first, last = F.slice("ws", 1, 3), F.when(F.size("ws") > 3, F.slice("ws", -3, 3))
-    text_of = lambda ws: F.array_join(F.transform(ws, lambda x: x["w"]), " ")
-    masked = masked.withColumn("keys", F.filter(F.array(
-        F.struct(F.lit("whole").alias("part"), text_of(F.col("ws")).alias("key2")), F.struct(F.lit("first").alias("part"), text_of(first).alias("key2")),
-        F.struct(F.lit("last").alias("part"), text_of(last).alias("key2"))), lambda x: x["key2"].rlike(r"[a-z|†@0159]{2}"))).drop("ws")
-    masked = masked.filter("n_known > 0 and not is_number").select("scan_id", "page", "line_id", "edge", F.explode("keys").alias("k")).select("*", "k.part", "k.key2")
+    known = materialise(known)
+    at_edges = materialise(_masked(lines.filter((F.col("edge") <= near) & ~F.col("is_number")), known))
+    often = at_edges.groupBy("part", "key2").agg(F.count_distinct("scan_id").alias("scans")).filter("scans >= if(part = 'whole', 3, 6)").select("part", "key2")
+    often = materialise(often)
+    # inner lines that could have one of these keys hold the key's first known word in its place
+    ws = F.split("key2", " ")
+    anchor = F.element_at(F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: ~x["w"].isin("*", "#", "")), 1)
+    anchors = often.select("part", anchor.alias("a"), F.size(ws).alias("k")).select(
+        F.col("a.w").alias("w"), F.when(F.col("part") != "last", F.col("a.i")).alias("from_start"), F.when(F.col("part") == "last", F.col("k") - F.col("a.i")).alias("from_end")
+    ).distinct()
+    inner = lines.filter((F.col("edge") > near) & ~F.col("is_number"))
+    words_at = inner.select("scan_id", "page", "line_id", F.posexplode(F.split("key", " ")).alias("at", "w"), F.size(F.split("key", " ")).alias("size"))
+    here = (F.col("at") == F.col("from_start")) | (F.col("size") - F.col("at") == F.col("from_end"))
+    place = ["scan_id", "page", "line_id"]
+    like = words_at.join(anchors, "w").filter(here).select(*place).distinct()
+    inside = _masked(inner.join(like, place, "left_semi"), known)
+    masked = at_edges.unionByName(inside).join(often, ["part", "key2"], "left_semi")
     stats = (
         masked.groupBy("part", "key2")
-        .agg(
-            F.count_distinct("scan_id").alias("scans"), F.avg(F.when(F.col("edge") <= near, 1.0).otherwise(0.0)).alias("share"),
-            F.avg(F.when(F.col("edge") <= 2, 1.0).otherwise(0.0)).alias("close"),
-        )
-        .filter("share >= 0.95 and close >= 0.9 and scans >= if(part = 'whole', 3, 6)")
+        .agg(F.avg(F.when(F.col("edge") <= near, 1.0).otherwise(0.0)).alias("share"), F.avg(F.when(F.col("edge") <= 2, 1.0).otherwise(0.0)).alias("close"))
+        .filter("share >= 0.95 and close >= 0.9")
         .select("part", "key2")
-    )
-    common = masked.join(edge_words, ["scan_id", "page", "line_id"], "left_semi").join(stats, ["part", "key2"], "left_semi").select("scan_id", "page", "line_id", F.lit(True).alias("common")).distinct()
+    )
+    common = at_edges.join(stats, ["part", "key2"], "left_semi").select(*place, F.lit(True).alias("common")).distinct()
     at_edge = F.when((F.col("edge") <= near) & ~F.col("is_number"), F.col("page"))
     places = lines.groupBy("key").agg(F.count("*").alias("all"), F.count(at_edge).alias("edges")).filter("edges >= 2 and edges * 10 >= all * 8").select("key")
     again = lines.join(places, "key", "left_semi").groupBy("scan_id", "key").agg(F.count_distinct(at_edge).alias("pages")).filter("pages >= 2")
