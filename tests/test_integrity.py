@@ -13,6 +13,7 @@ def test_ledger_chain_and_tampering(spark):
     assert I.verify_ledger(df).filter("not own_ok or not link_ok").count() == 0
     bad = df.withColumn("data_hash", F.when(F.col("block_index") == 7, "00").otherwise(F.col("data_hash")))
     assert {(r.block_index) for r in I.verify_ledger(bad).filter("not own_ok").collect()} == {7}
+    assert I.latest_block(df).first().block_index == 49 and I.latest_block(df.limit(0)).count() == 0
     cut = df.filter("block_index <> 20")
     assert {r.block_index for r in I.verify_ledger(cut).filter("not link_ok").collect()} == {21}
     now = items.select("e", "h").filter("e in ('e1', 'e2') and h <> 'x'").union(spark.createDataFrame([("e3", "changed"), ("zz", "x")], "e string, h string"))

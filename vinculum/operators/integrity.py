@@ -68,6 +68,11 @@ def verify_documents(ledger: DataFrame, current: DataFrame, key: str, data_hash:
     return c.select(key, F.col("_e").isNotNull().alias("anchored"), F.coalesce(F.col("_ok") & (F.col("_h") == F.col("_now")), F.lit(False)).alias("verified"))
 
 
+def latest_block(ledger: DataFrame) -> DataFrame:
+    """The block of highest index; no row for an empty ledger."""
+    return ledger.agg(F.max_by(F.struct(*ledger.columns), "block_index").alias("b")).filter("b is not null").select("b.*")
+
+
 def network_fingerprint(tokens: DataFrame, group: str = "case_id", token: str = "token") -> DataFrame:
     """(``group``, fingerprint): 24 hex digits that change with the set of tokens, whatever their order.
 
