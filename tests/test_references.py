@@ -58,3 +58,24 @@ def test_claims(spark):
 def test_any_stored_row_of_a_parent_resolves(spark):
     s = R.first_state(refs(spark, [("t", 1, "f", "a", T(5))]), parents(spark, [("a", T(1), T(3)), ("a", T(1), None)]))
     assert orphans(s) == set()
+
+
+def test_advance_keeps_every_stored_row(spark):
+    s = R.advance(R.OrphanState.empty(spark), refs(spark, [("t", 1, "f", "a", T(5))]), parents(spark, [("a", T(1), T(3)), ("a", T(1), None)]))
+    assert orphans(s) == set()
+
+
+def test_replay_by_periods_equals_the_definition(spark):
+    p = [("a", T(1), None), ("a", T(1), T(3)), ("b", T(2), T(9)), ("b", T(2), T(5)), ("b", T(20), None), ("c", T(6), T(4)), ("d", T(3), T(3)), ("e", None, None)]
+    r = [("t", 30 * i + d, "f", k, T(d)) for i, k in enumerate("abcdefg") for d in range(1, 29)] + [("t", 900, "f", "a", None), ("t", 901, "f", None, T(3))]
+    s = R.replay(refs(spark, r), parents(spark, p), "day")
+    want = {n for _, n, _, key, at in r if key and not any(at and x == key and b and b <= at and (e is None or e > at) for x, b, e in p)}
+    assert orphans(s) == want and s.references.count() == len(r) - 1
+
+
+def test_queries_advance_the_state(spark, small, monkeypatch):
+    from vinculum.plans import data_quality
+
+    calls, whole = [], R.advance
+    monkeypatch.setattr(R, "advance", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    assert data_quality.p2_snapshot(spark, small).count() > 0 and len(calls) > 1

@@ -24,8 +24,8 @@ def _staged_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan endpoints, and counts of unresolved relationships that aren't so."""
-    state = references.first_state(_staged_references(spark, d), _entity_parents(spark, d))
+    """Orphan endpoints, and counts of unresolved relationships that aren't so; the state advances by quarters."""
+    state = references.replay(_staged_references(spark, d), _entity_parents(spark, d))
     orphans = state.orphans().select("table_name", "row_no", "ref_field")
     r = table(spark, d, "relationships_staging")
     staged = r.select(
@@ -43,7 +43,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Open references per table, field and month."""
-    return references.first_state(_staged_references(spark, d), _entity_parents(spark, d)).snapshot("month").withColumn(
+    return references.replay(_staged_references(spark, d), _entity_parents(spark, d)).snapshot("month").withColumn(
         "period", F.date_format("period", "yyyy-MM")
     )
 
