@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,14 @@ def test_all_pairs_of_a_class_come_out(spark, small):
     df = p1_found(spark, small)
     assert df.columns == ["case_id", "name_a", "name_b"]
     assert df.filter(F.col("name_a") >= F.col("name_b")).count() == 0 and df.count() == df.distinct().count() > 0
+
+
+def test_similar_words_miss_no_pair_within_the_limit(spark):
+    pairs = "urvu uvru raju rauj ketot ketto norot nroot ketik kteik sorab soarb tavuroq atvuorq wili vily".split()
+    long = ["bromikeslatavuronildar", "bromiekslatavuronilrdar", "rbomikeslatavuronilda", "nildarshogenketotwa", "nildarshogenketot", "indlarshogenketotwa"]
+    r = random.Random(3)
+    made = ["".join(r.choices("abce", k=r.randint(3, 9))) for _ in range(150)]
+    vocabulary = sorted({*pairs, *long, *made})
+    got = {(r.a, r.b) for r in names.similar_words(spark.createDataFrame([(w,) for w in vocabulary], "word string")).collect()}
+    want = {(a, b) for a in vocabulary for b in vocabulary if a != b and names.distance(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1)}
+    assert got == want and len(want) > 100

@@ -1,7 +1,7 @@
 """Spellings of one person's or organisation's name, linked within a group such as a case.
 
 Names are parsed into words with a role. The words of the whole corpus are banded by MinHash over padded q-grams, the bands
-being chosen from the collision curve for a stated recall; a rare word that is a slight misspelling of a common one takes its
+being chosen from the collision curve for a stated recall, and keyed by what is left without one or two letters; a rare word that is a slight misspelling of a common one takes its
 place. Names that then agree in first and last word (persons) or in name and trade (organisations) are candidates; in each
 candidate group the fullest and most frequent spelling is the centre of a star, and spellings whose Monge-Elkan similarity to
 it suffices are its satellites. Initials, nicknames and acronyms join the one star of the group that they fit.
@@ -146,11 +146,29 @@ def _sound_columns() -> list:
     return [F.col("word"), s, F.regexp_replace(s, r"(.)\1+", "$1")]
 
 
+def error_keys(word: str, errors: int) -> set[str]:
+    """Keys of which two words within so many errors (1 or 2, a transposition counting once) have one in common.
+
+    What is left of the word without up to so many letters. Long words have the same for one error of their first and their
+    last eight letters, as two errors can't spoil both ends twice; of 18 and 19 letters they have both.
+    """
+    n, keys = len(word), set()
+    if n < 20:
+        keys = {word}
+        for _ in range(errors):
+            keys |= {w[:k] + w[k + 1 :] for w in keys for k in range(len(w))}
+    if n >= 18:
+        for mark, end in (("<", word[:8]), (">", word[::-1][:8])):
+            keys |= {mark + end[:7]} | {mark + end[:k] + end[k + 1 :] for k in range(8)}
+    return keys
+
+
 def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.95, q: int = 2, by: str | None = None) -> DataFrame:
     """(a, b, d) for distinct words of the column ``word``, a <> b, both ways, within one error (two from seven letters on).
 
-    Candidates share a MinHash band of their padded q-grams; with ``by`` only words that meet in one group are compared. The
-    distance counts a transposition once and is computed once for each pair of words.
+    Candidates share a MinHash band of their padded q-grams or an ``error_keys`` key of one of the forms that the distance
+    compares, which finds every pair within the limit, however few q-grams a short word keeps; with ``by`` only words that meet
+    in one group are compared. The distance counts a transposition once and is computed once for each pair of words.
     """
     bands, rows = tune_bands(similarity, recall)
     padded = F.concat(F.lit("#" * (q - 1)), F.col("word"), F.lit("#" * (q - 1)))
@@ -162,7 +180,18 @@ def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.9
     mins = [smallest(k) for k in range(bands * rows)]
     keys = F.array(*[F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)])
     distinct = words.filter("word <> ''").select("word").distinct()
-    banded = materialise(distinct.withColumn("grams", grams).select(F.struct("word", F.array(*_sound_columns()).alias("s")).alias("w"), keys.alias("keys")))
+
+    def spell(frames):
+        for f in frames:
+            errors = [2 if len(w) >= 7 else 1 for w in f["word"]]
+            left = [sorted(set().union(*(error_keys(x, e) for x in set(forms)))) for forms, e in zip(f["s"], errors)]
+            yield f.assign(left=left)
+
+    formed = distinct.filter(F.length("word") >= 3).withColumn("grams", grams)
+    formed = formed.select("word", F.array(*_sound_columns()).alias("s"), keys.alias("bands"))
+    formed = formed.mapInPandas(spell, "word string, s array<string>, bands array<bigint>, left array<string>")
+    left = F.transform("left", lambda x: F.xxhash64(x))
+    banded = materialise(formed.select(F.struct("word", "s").alias("w"), F.array_union("bands", left).alias("keys")))
     if by:
         group = words.filter("word <> ''").select(F.col(by).alias("_g"), "word").distinct()
         banded = group.join(banded.withColumn("word", F.col("w.word")), "word").select("_g", "w", F.explode("keys").alias("band"))
@@ -170,7 +199,7 @@ def similar_words(words: DataFrame, similarity: float = 0.4, recall: float = 0.9
         banded = banded.select(F.lit(0).alias("_g"), "w", F.explode("keys").alias("band"))
     a, b = banded.withColumnRenamed("w", "x"), banded.withColumnRenamed("w", "y")
     sizes = F.length("x.word"), F.length("y.word")
-    pairs = a.join(b, ["_g", "band"]).filter((F.col("x.word") < F.col("y.word")) & (F.abs(sizes[0] - sizes[1]) <= 4))
+    pairs = a.join(b, ["_g", "band"]).filter(F.col("x.word") < F.col("y.word"))
     most = F.when(F.least(*sizes) >= 7, 2).otherwise(1)
     near = F.lit(False)
     for k in range(3):  # within twice the limit by plain edit distance, which counts a transposition as two
