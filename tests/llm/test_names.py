@@ -82,3 +82,17 @@ def test_similar_words_miss_no_pair_within_the_limit(spark):
     got = {(r.a, r.b) for r in names.similar_words(spark.createDataFrame([(w,) for w in vocabulary], "word string")).collect()}
     want = {(a, b) for a in vocabulary for b in vocabulary if a != b and names.distance(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1)}
     assert got == want and len(want) > 100
+
+
+def test_every_member_of_a_group_comes_into_a_star(spark):
+    rows = [(k, ["weniya", i, "ketrivel"], n, "g") for k, (i, n) in enumerate([("a", 9), ("b", 8), ("c", 7), ("d", 6), ("d", 1), ("e", 5), ("c", 1)])]
+    rows += [(10 + k, w, n, "h") for k, (w, n) in enumerate([(["weniya", "a", "ketrivel"], 2), (["weniya", "ketrivel"], 1)])]
+    df = spark.createDataFrame(rows, "node bigint, words array<string>, n bigint, k string")
+    got = {r.node: r.centre for r in names._stars(df, ["k"], 0.7).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 2, 10: 10, 11: 10}
+
+
+def test_chains_of_spellings_end_at_their_last_word(spark):
+    chain = ["abdefg", "hbdefg", "hidefg", "hijefg", "hijkfg", "hijklg", "hijklm"]
+    df = spark.createDataFrame([("g", w, 1) for w in chain], "g string, word string, n bigint")
+    assert {r.main for r in names.common_spelling(df).collect()} == {chain[-1]}

@@ -235,9 +235,13 @@ def common_spelling(words: DataFrame) -> DataFrame:
     best = pairs.filter(rank("b") > rank("a")).groupBy("g", "a").agg(F.max(F.struct(-F.col("d"), rank("b"))).alias("m"))
     best = best.select("g", F.col("a").alias("word"), F.col("m.col2.b").alias("main"))
     best = materialise(words.select("g", "word").join(best, ["g", "word"], "left").select("g", "word", F.coalesce("main", "word").alias("main")))
-    for _ in range(2):
+    while True:  # every jump doubles its length, until none moves; the rank grows along a chain, so there are no rings
         nxt = best.select("g", F.col("word").alias("main"), F.col("main").alias("m2"))
-        best = best.join(nxt, ["g", "main"]).select("g", "word", F.col("m2").alias("main"))
+        best = materialise(best.join(nxt, ["g", "main"]).select("g", "word", F.col("m2").alias("main"), (F.col("m2") != F.col("main")).alias("moved")))
+        moved = not best.filter("moved").isEmpty()
+        best = best.drop("moved")
+        if not moved:
+            break
     return best
 
 
@@ -258,20 +262,30 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
 
 
 def _stars(members: DataFrame, key: list[str], least: float) -> DataFrame:
-    """(node, centre) by rounds of star election in the groups of ``key``; members have node, words, n."""
-    links, rest = [], members
-    for _ in range(2):
-        order = W.partitionBy(*key).orderBy(F.col("n").desc(), F.size("words").desc(), F.col("node"))
-        rest = rest.withColumn("centre", F.first("node").over(order)).withColumn("cw", F.first("words").over(order))
-
-        @F.pandas_udf("double")
-        def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([monge_elkan(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")
-
-        rest = materialise(rest.withColumn("likeness", likeness("words", "cw")))
-        links.append(rest.filter(F.col("likeness") >= least).select("node", "centre"))
-        rest = rest.filter(F.col("likeness") < least).drop("centre", "cw", "likeness")
-    return links[0].unionByName(links[1])
+    """(node, centre) by star election in the groups of ``key``, until every member is in a star; members have node, words, n.
+
+    The fullest and most frequent member left is the next centre, and who is like it joins it: so in that order each member
+    joins the first centre that it fits or becomes one itself. A sorted pass holds one group's centres only.
+    """
+    order = [F.col("n").desc(), F.size("words").desc(), F.col("node")]
+    rows = members.select(F.struct(*key).alias("_key"), *key, "node", "words", "n").repartition(*key).sortWithinPartitions(*key, *order)
+
+    def elect(frames):
+        group, centres = None, []
+        for f in frames:
+            out = []
+            for k, node, words in zip(f["_key"], f["node"], f["words"]):
+                words = list(words)
+                if k != group:
+                    group, centres = k, []
+                fit = next((c for c, w in centres if monge_elkan(words, w) >= least), None)
+                if fit is None:
+                    centres.append((node, words))
+                out.append((node, node if fit is None else fit))
+            yield pd.DataFrame(out, columns=["node", "centre"], dtype="int64")
+
+    rows = rows.select(F.to_json("_key").alias("_key"), "node", "words")
+    return materialise(rows.mapInPandas(elect, "node bigint, centre bigint"))
 
 
 def link_names(names: DataFrame, owners: DataFrame, group: str = "case_id", least: float = 0.7) -> DataFrame:
