@@ -81,3 +81,10 @@ def test_smallest_tables_against_brute_force(spark, small):
         if any(g in grams for g in zip(*[w[k:] for k in range(9)])):
             want |= set(itertools.product([d], brute(t, items)))
     assert {(r.doc_id, r.item_id) for r in got if r.doc_id in near} == want
+
+
+def test_more_items_than_one_batch_holds(spark):
+    docs = spark.createDataFrame([(k, f"x {p} y") for k, p in PASSAGES], "doc_id int, text string")
+    items = spark.createDataFrame(PASSAGES + PASSAGES, "item_id int, passage string")
+    whole = {tuple(r) for r in find_leaks(docs, items).collect()}
+    assert whole and {tuple(r) for r in find_leaks(docs, items, most_items=2).collect()} == whole

@@ -96,3 +96,10 @@ def test_chains_of_spellings_end_at_their_last_word(spark):
     chain = ["abdefg", "hbdefg", "hidefg", "hijefg", "hijkfg", "hijklg", "hijklm"]
     df = spark.createDataFrame([("g", w, 1) for w in chain], "g string, word string, n bigint")
     assert {r.main for r in names.common_spelling(df).collect()} == {chain[-1]}
+
+
+def test_names_with_digits_in_them_are_names(spark):
+    rows = [("A", x) for x in ("Ravi4 Kumar", "Ravi Kumar", "24x7 Security Services Ltd", "24x7 Security Services", "SYNTH 645 0925", "XX12 3456", "7 Hills Traders", "9 Hills Traders")]
+    got = groups(run(spark, rows))
+    assert ["Ravi Kumar", "Ravi4 Kumar"] in got and ["24x7 Security Services", "24x7 Security Services Ltd"] in got
+    assert ["7 Hills Traders"] in got and ["9 Hills Traders"] in got and not any("SYNTH 645 0925" in g or "XX12 3456" in g for g in got)

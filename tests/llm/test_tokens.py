@@ -43,3 +43,13 @@ def test_empty_table_null_keys_and_unknown_ids(spark):
     assert [r.doc_id for r in tokens.encode_corpus(one).collect()] == [None]
     odd = spark.createDataFrame([(1, [50_300]), (2, None)], "doc_id int, ids array<int>")
     assert {r.doc_id: r.text for r in tokens.decode_corpus(odd).collect()} == {1: "�", 2: ""}
+
+
+def test_ids_beyond_two_bytes(spark, monkeypatch):
+    import numpy as np
+
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id int, text string")
+    want = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df).collect()}
+    monkeypatch.setattr(tokens, "width_of", lambda path: np.dtype(np.uint32))
+    for hot in (1, 20_000):
+        assert {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df, hot=hot).collect()} == want

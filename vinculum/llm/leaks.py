@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,19 @@ class Searcher:
         return best
 
 
+_SEARCHERS: dict[tuple, Searcher] = {}
+
+
+def _searcher(batch: str, need: int, passages: list[tuple]) -> Searcher:
+    """The tables of a batch of items, built once in each Python process; only the latest are kept."""
+    key = batch, need
+    if key not in _SEARCHERS:
+        if len(_SEARCHERS) >= 4:
+            _SEARCHERS.clear()
+        _SEARCHERS[key] = Searcher(passages, need)
+    return _SEARCHERS[key]
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage",
     need: int = 20, most_items: int = 100_000,
@@ -143,24 +157,28 @@ def find_leaks(
 
     Words are split at white space; case, punctuation and spacing don't count. Null and empty texts and passages, and passages
     of fewer words, match nothing. Rows are distinct; a null document id is kept as null; extra columns are not returned.
-    The items are the fixed side: their number is checked against ``most_items`` (more raise an error) and their tables are
-    broadcast; the corpus is scanned once, whole, without a shuffle before the final distinct.
+    The corpus is scanned, whole, once for each batch of items, without a shuffle before the final distinct. One batch holds
+    them all up to ``most_items``; more are divided by hash into batches of about half as many, whose tables are broadcast in turn.
     """
-    rows = items.select(item, passage).filter(F.col(passage).isNotNull()).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} evaluation items; search them in several runs")
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-    cache: dict[int, Searcher] = {}
-
-    def scan(frames):
-        import pandas as pd
-
-        searcher = cache.get(need) or cache.setdefault(need, Searcher(shared.value, need))
-        for f in frames:
-            out = [(d, i) for d, t in zip(f["_d"], f["_t"]) for i in sorted(searcher.find(t))]
-            yield pd.DataFrame({"_d": pd.Series([x[0] for x in out], dtype=object), "_i": pd.Series([x[1] for x in out], dtype=object)})
-
     kinds = documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    wanted = items.select(F.col(item).alias("_i"), F.col(passage).alias("_p")).filter("_i is not null and _p is not null").distinct()
     texts = documents.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).filter("_t <> ''")
-    return texts.mapInPandas(scan, f"_d {kinds[0]}, _i {kinds[1]}").distinct().select(F.col("_d").alias(doc), F.col("_i").alias(item))
+    count = wanted.count()
+    batches = 1 if count <= most_items else -(-2 * count // most_items)
+    found = None
+    for k in range(batches):
+        part = wanted if batches == 1 else wanted.filter(F.pmod(F.xxhash64("_i", "_p"), F.lit(batches)) == k)
+        shared, name = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()]), uuid.uuid4().hex
+
+        def scan(frames, shared=shared, name=name):
+            import pandas as pd
+
+            searcher = _searcher(name, need, shared.value)
+            for f in frames:
+                out = [(d, i) for d, t in zip(f["_d"], f["_t"]) for i in sorted(searcher.find(t))]
+                yield pd.DataFrame({"_d": pd.Series([x[0] for x in out], dtype=object), "_i": pd.Series([x[1] for x in out], dtype=object)})
+
+        one = texts.mapInPandas(scan, f"_d {kinds[0]}, _i {kinds[1]}")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().select(F.col("_d").alias(doc), F.col("_i").alias(item))

@@ -46,6 +46,11 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalpha())
 
 
+def plain_code(word: str) -> str:
+    """As ``plain``, with digits, which tell organisations apart."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalnum())
+
+
 def sounds(word: str) -> str:
     """A plain word with one letter for each of the spellings that stand for one sound."""
     s = word.replace("w", "v").replace("ee", "i").replace("oo", "u").replace("au", "o").replace("ph", "f")
@@ -54,7 +59,9 @@ def sounds(word: str) -> str:
 
 def distance(a: str, b: str, most: int = 3) -> int:
     """The least edit distance, a transposition counting once, of two plain words as typed, by their sounds, and by their sounds
-    without doubled letters."""
+    without doubled letters; words of different digits are never near."""
+    if re.sub(r"\D", "", a) != re.sub(r"\D", "", b):
+        return most + 1
     x, y = sounds(a), sounds(b)
     d = min(osa(a, b, most), osa(x, y, most))
     return min(d, osa(re.sub(r"(.)\1+", r"\1", x), re.sub(r"(.)\1+", r"\1", y), most))
@@ -96,7 +103,7 @@ def parse(name: str) -> dict:
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s)  # words run together
     low = re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", s.lower())  # l.l.p. is one word
     low = re.sub(r"\bco-op\b", "coop", low)
-    words = [w.replace("'", "") for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", low)]
+    words = [w.replace("'", "") for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", low)]
     trades = [(k, _trade(w)) for k, w in enumerate(words)]
     marks = [k for k, w in enumerate(words) if w in _LEGAL_OF and (len(w) > 1 or k > 0)]
     if firm or any(t for _, t in trades) or any(_LEGAL_OF[words[k]] not in ("sons",) and len(words[k]) > 1 for k in marks):
@@ -108,7 +115,7 @@ def parse(name: str) -> dict:
         parts += ["a"] if legal and legal[-1] in ("company", "sons") else []
         parts += ["llp"[0] if x == "llp" else x[0] for x in legal]
         return out | {
-            "kind": "O", "words": [], "base": "".join(map(plain, base)), "trade": " ".join(trade), "legal": " ".join(sorted(set(legal))),
+            "kind": "O", "words": [], "base": "".join(map(plain_code, base)), "trade": " ".join(trade), "legal": " ".join(sorted(set(legal))),
             "code": f"{''.join(parts)}-{''.join(base)[:3]}" if legal else "",
         }
     pieces = [p for p in ALIAS.split(s) if p.strip()]
@@ -294,12 +301,15 @@ def link_names(names: DataFrame, owners: DataFrame, group: str = "case_id", leas
 
     ``names``: ``group``, name. ``owners``: ``group``, name, owner: names that are known to be one owner's. Rows with null or
     blank names or a null group are left out, copies count once, other columns are ignored, empty tables give an empty one.
-    Strings with digits are account numbers and no names. Spelling statistics are over all groups.
+    Strings of six and more digits, or of no more letters than digits, are account numbers and no names; other digits don't count
+    in persons' names, but do in organisations'. Spelling statistics are over all groups.
     """
     g = F.col(group).alias("g")
     known = owners.select(g, "name", F.col("owner").cast("string").alias("owner"))
     every = names.select(g, "name").unionByName(known.select("g", "name"))
-    every = every.filter(F.col("g").isNotNull() & F.col("name").rlike(r"\p{L}") & ~F.col("name").rlike(r"\d"))
+    digits = F.length(F.regexp_replace("name", r"\D", ""))
+    account = (digits >= 6) | (digits >= F.length(F.regexp_replace("name", r"[^\p{L}]", "")))
+    every = every.filter(F.col("g").isNotNull() & F.col("name").rlike(r"\p{L}") & ~account)
     every = every.groupBy("g", "name").agg(F.count("*").alias("n"))
 
     def run(frames):

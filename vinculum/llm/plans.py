@@ -84,7 +84,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are cut."""
-    cut = pieces.split_oversized(table(spark, d, "documents"), with_text=False)
+    cut = pieces.split_oversized(table(spark, d, "documents"), with_text=False, with_tokens=False)
     return cut.filter("n_pieces > 1 and piece_no = 0").select("doc_id").distinct()
 
 

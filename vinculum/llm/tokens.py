@@ -24,22 +24,25 @@ def _words(text: str):
     return F.regexp_extract_all(F.col(text), F.lit(WORD), 1)
 
 
-#: Stands for a word whose ids are still missing; ids are packed in two bytes, so a vocabulary has fewer than this.
-HOLE = 65_535
+def width_of(path: str) -> np.dtype:
+    """The unsigned integers in which the ids of a vocabulary are packed: two bytes if they fit, else four; the largest of the kind
+    stands for a word whose ids are still missing."""
+    return np.dtype(np.uint16 if max(vocabulary.ranks(path).values()) < 65_535 else np.uint32)
 
 
 def packed(edges: np.ndarray, ids: np.ndarray) -> pa.Array:
-    """Binary values of two bytes an id, one for each range between ``edges``."""
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+    """Binary values of the bytes of ``ids``, one for each range between ``edges``."""
+    size = ids.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
-def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """Edges and ids of packed values."""
     _, edges, data = values.buffers()
     edges = np.frombuffer(edges, dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
     if data is None or edges[-1] == edges[0]:
-        return np.zeros(len(values) + 1, dtype=np.int64), np.empty(0, dtype=np.uint16)
-    return (edges - edges[0]) // 2, np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]].view(np.uint16)
+        return np.zeros(len(values) + 1, dtype=np.int64), np.empty(0, dtype=kind)
+    return (edges - edges[0]) // kind.itemsize, np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]].view(kind)
 
 
 def word_table(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -62,8 +65,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     columns are not returned. An empty table gives an empty one. Texts of any length are encoded whole.
     """
     path = path or vocabulary.default_path()
-    if max(vocabulary.ranks(path).values()) >= HOLE:
-        raise ValueError("ids of this vocabulary don't fit in two bytes")
+    kind_of_id = width_of(path)
+    missing_id = np.iinfo(kind_of_id).max
     spark = df.sparkSession
     df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     table = materialise(word_table(df, "_text", path))
@@ -71,7 +74,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     top = table.filter(F.col("n") >= max(1.0, total / hot)).select("word", "ids").collect() if total else []
     lens = np.array([len(r.ids) for r in top], dtype=np.int64)
     shared = spark.sparkContext.broadcast(
-        ([r.word for r in top], np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), np.array([i for r in top for i in r.ids], dtype=np.uint16))
+        ([r.word for r in top], np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), np.array([i for r in top for i in r.ids], dtype=kind_of_id))
     )
 
     def look_up(batches):
@@ -90,7 +93,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             else:
                 n = np.ones(len(at), dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
-            out = np.full(ends[-1], HOLE, dtype=np.uint16)
+            out = np.full(ends[-1], missing_id, dtype=kind_of_id)
             if len(sizes):
                 src = np.repeat(np.where(rare, 0, starts[at]) - ends[:-1], n) + np.arange(ends[-1])
                 known = np.repeat(~rare, n)
@@ -118,19 +121,19 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def unpack(batches):
         for b in batches:
-            offsets, flat = unpacked(b.column("ids"))
+            offsets, flat = unpacked(b.column("ids"), kind_of_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("_key"), lists], ["_key", "ids"])
 
     def fill(batches):
         for b in batches:
             fills = b.column("_fill")
-            offsets, flat = unpacked(b.column("ids"))
+            offsets, flat = unpacked(b.column("ids"), kind_of_id)
             edge = fills.offsets.to_numpy()
             lists = fills.values.slice(edge[0], edge[-1] - edge[0]).field("_ids")
             edge = lists.offsets.to_numpy().astype(np.int64)
             new = lists.values.to_numpy(zero_copy_only=False)
-            hole = flat == HOLE
+            hole = flat == missing_id
             n = np.ones(len(flat), dtype=np.int64)
             n[hole] = np.diff(edge)
             ends = np.concatenate([[0], np.cumsum(n)])
