@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.llm import vocabulary
-from vinculum.session import materialise
+from vinculum.session import materialise, release
 
 #: Fixed value: how the byte-level tokenizer splits words; (?U) gives \s the Unicode white space.
 WORD = r"(?U)('(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
@@ -70,6 +70,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     spark = df.sparkSession
     df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     table = materialise(word_table(df, "_text", path))
+    release(spark)
     total = table.agg(F.sum("n")).first()[0] or 0
     top = table.filter(F.col("n") >= max(1.0, total / hot)).select("word", "ids").collect() if total else []
     lens = np.array([len(r.ids) for r in top], dtype=np.int64)
@@ -114,6 +115,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     kind = df.schema["_key"].dataType.simpleString()
     split = df.select(F.monotonically_increasing_id().alias("_row"), "_key", words.alias("_words"))
     found = materialise(split.mapInArrow(look_up, f"_row bigint, _key {kind}, ids binary, rare array<string>"))
+    release(spark)
     spots = found.select("_row", F.posexplode("rare").alias("_at", "word"))
     spots = spots.join(table.select("word", F.col("ids").alias("_ids")), "word").groupBy("_row")
     spots = spots.agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_fill"))
