@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,40 +18,45 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def block_payload(index: Column, evidence: Column, data_hash: Column, previous: Column) -> Column:
-    """Canonical JSON of a block, keys in order, no blanks."""
-    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    return F.concat(F.lit('{"block_index":'), index.cast("string"), F.lit(',"data_hash":'), quote(data_hash), F.lit(',"evidence_id":'), quote(evidence), F.lit(',"previous_hash":'), quote(previous), F.lit("}"))
+def block_payload(index: int, evidence: str, data_hash: str, previous: str, case: str, actor: str, at: str) -> str:
+    """Canonical JSON of a block: keys in order, no blanks, other signs than ASCII escaped; the data hash in lower case."""
+    block = {"actor": actor, "block_index": index, "case_id": case, "data_hash": data_hash.lower(), "evidence_id": evidence, "previous_hash": previous, "timestamp": at}
+    return json.dumps(block, sort_keys=True, separators=(",", ":"))
+
+
+def _block_hash(*parts) -> str:
+    return hashlib.sha256(block_payload(*parts).encode()).hexdigest()
+
 
+LEDGER = "block_index bigint, evidence_id string, data_hash string, previous_hash string, case_id string, actor string, made_at string, block_hash string"
 
-def build_ledger(items: DataFrame, order: str, evidence: str, data_hash: str) -> DataFrame:
-    """(block_index, evidence_id, data_hash, previous_hash, block_hash): one chained block per item in ``order``.
 
-    A block's hash covers its predecessor's, so the chain is sequential by nature: the items, three short columns each, pass
+def build_ledger(items: DataFrame, order: str, evidence: str, data_hash: str, case: str | None = None, actor: str | None = None, at: str | None = None) -> DataFrame:
+    """(block_index, evidence_id, data_hash, previous_hash, case_id, actor, made_at, block_hash): one chained block per item in ``order``.
+
+    ``case``, ``actor`` and ``at`` (a timestamp, in UTC with microseconds and Z) are columns; without one the text is empty. A
+    block's hash covers its predecessor's, so the chain is sequential by nature: the items, a few short columns each, pass
     through one ordered task that streams them batch by batch and keeps one hash. Items without hash are left out; of repeated
     evidence the first counts.
     """
     first = W.partitionBy(evidence).orderBy(order)
     rows = items.filter(F.col(data_hash).isNotNull()).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    rows = rows.select(F.col(order).alias("_o"), F.col(evidence).cast("string").alias("evidence_id"), F.col(data_hash).alias("data_hash"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
+    time = F.coalesce(F.date_format(F.col(at).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("")) if at else F.lit("")
+    rows = rows.select(F.col(order).alias("_o"), F.col(evidence).cast("string").alias("e"), F.lower(F.col(data_hash)).alias("h"), text(case).alias("c"), text(actor).alias("a"), time.alias("t"))
     rows = rows.repartition(1).sortWithinPartitions("_o")
 
     def chain(frames):
-        import hashlib
-
-        import pandas as pd
-
         previous, index = GENESIS, 0
         for f in frames:
             out = []
-            for e, h in zip(f["evidence_id"], f["data_hash"]):
-                text = f'{{"block_index":{index},"data_hash":"{h}","evidence_id":"{e}","previous_hash":"{previous}"}}'
-                block = hashlib.sha256(text.encode()).hexdigest()
-                out.append((index, e, h, previous, block))
+            for e, h, c, a, t in zip(f["e"], f["h"], f["c"], f["a"], f["t"]):
+                block = _block_hash(index, e, h, previous, c, a, t)
+                out.append((index, e, h, previous, c, a, t, block))
                 previous, index = block, index + 1
-            yield pd.DataFrame(out, columns=["block_index", "evidence_id", "data_hash", "previous_hash", "block_hash"])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
 
-    return rows.mapInPandas(chain, "block_index bigint, evidence_id string, data_hash string, previous_hash string, block_hash string")
+    return rows.mapInPandas(chain, LEDGER)
 
 
 def verify_ledger(ledger: DataFrame) -> DataFrame:
@@ -55,10 +64,17 @@ def verify_ledger(ledger: DataFrame) -> DataFrame:
 
     The predecessor is joined by index, so blocks are checked in parallel and a gap shows as a broken link.
     """
-    own = F.sha2(block_payload(F.col("block_index"), F.col("evidence_id"), F.col("data_hash"), F.col("previous_hash")), 256) == F.col("block_hash")
+    names = ["block_index", "evidence_id", "data_hash", "previous_hash", "case_id", "actor", "made_at", "block_hash"]
+
+    def check(frames):
+        for f in frames:
+            own = [None not in r[:7] and _block_hash(int(r[0]), *r[1:7]) == r[7] for r in zip(*[f[n] for n in names])]
+            yield pd.DataFrame({"block_index": f["block_index"], "previous_hash": f["previous_hash"], "own_ok": own})
+
+    own = ledger.select(*names).mapInPandas(check, "block_index bigint, previous_hash string, own_ok boolean")
     before = ledger.select((F.col("block_index") + 1).alias("block_index"), F.col("block_hash").alias("_p"))
     link = F.when(F.col("block_index") == 0, F.col("previous_hash") == GENESIS).otherwise(F.coalesce(F.col("previous_hash") == F.col("_p"), F.lit(False)))
-    return ledger.join(before, "block_index", "left").select("block_index", own.alias("own_ok"), link.alias("link_ok"))
+    return own.join(before, "block_index", "left").select("block_index", "own_ok", link.alias("link_ok"))
 
 
 def verify_documents(ledger: DataFrame, current: DataFrame, key: str, data_hash: str) -> DataFrame:
@@ -73,16 +89,48 @@ def latest_block(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.max_by(F.struct(*ledger.columns), "block_index").alias("b")).filter("b is not null").select("b.*")
 
 
-def network_fingerprint(tokens: DataFrame, group: str = "case_id", token: str = "token") -> DataFrame:
-    """(``group``, fingerprint): 24 hex digits that change with the set of tokens, whatever their order.
+def network_fingerprint(entities: DataFrame, relationships: DataFrame, documents: DataFrame, group: str = "case_id", mode: str = "mode=full") -> DataFrame:
+    """(``group``, fingerprint, entities_count, relationships_count, documents_count): the first 24 hex digits of the SHA-256 of a
+    group's sorted signature, which changes with any of its entities, relationships and documents.
 
-    Tokens are hashed first and the hashes added up exactly, so no group is ever gathered or sorted as a whole; a count is
-    mixed in. Repeated tokens count once.
+    entities: group, id, name, etype; relationships: group, id, src, tgt, status; documents: group, id, filename; parts are joined as
+    texts, null as None, in the order of the id as text. A hash of ordered text is sequential within a group by nature: the
+    tokens, sorted by the shuffle, stream through one digest, and no group is ever held as a whole.
     """
-    t = tokens.select(group, token).filter(F.col(token).isNotNull()).distinct()
-    part = lambda k: F.conv(F.substring(F.sha2(F.col(token), 256), 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")
-    sums = t.groupBy(group).agg(F.sum(part(0)).alias("s0"), F.sum(part(1)).alias("s1"), F.count("*").alias("n"))
-    return sums.select(group, F.left(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("s0", "s1", "n")]), 256), F.lit(24)).alias("fingerprint"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    part = lambda df, k, *cols: df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.lit(k).alias("part"), text("id").alias("id"), F.concat_ws(":", text("id"), *map(text, cols)).alias("token"))
+    tokens = part(entities, 0, "name", "etype").unionByName(part(relationships, 1, "src", "tgt", "status")).unionByName(part(documents, 2, "filename"))
+    counts = tokens.groupBy("g").agg(*[F.count_if(F.col("part") == k).alias(f"n{k}") for k in range(3)])
+    rows = tokens.join(counts, "g").repartition("g").sortWithinPartitions("g", "part", "id", "token")
+
+    def digest(frames):
+        group_, sha, at, n = None, None, 0, (0, 0, 0)
+        heads = ("#ENT", "#REL", "#DOC")
+
+        def close():
+            for k in range(at + 1, 3):
+                sha.update(f"{heads[k]}({n[k]}):".encode())
+            return (group_, sha.hexdigest()[:24], *n)
+
+        for f in frames:
+            out = []
+            for g, k, token, *sizes in zip(f["g"], f["part"], f["token"], f["n0"], f["n1"], f["n2"]):
+                if sha is None or g != group_:
+                    if sha is not None:
+                        out.append(close())
+                    group_, sha, at, n, first = g, hashlib.sha256(mode.encode()), -1, tuple(map(int, sizes)), True
+                while at < k:
+                    at += 1
+                    sha.update(f"{heads[at]}({n[at]}):".encode())
+                    first = True
+                sha.update((token if first else f";{token}").encode())
+                first = False
+            yield pd.DataFrame(out, columns=["g", "fingerprint", "n0", "n1", "n2"])
+        if sha is not None:
+            yield pd.DataFrame([close()], columns=["g", "fingerprint", "n0", "n1", "n2"])
+
+    found = rows.mapInPandas(digest, f"g {entities.schema[group].dataType.simpleString()}, fingerprint string, n0 bigint, n1 bigint, n2 bigint")
+    return found.select(F.col("g").alias(group), "fingerprint", F.col("n0").alias("entities_count"), F.col("n1").alias("relationships_count"), F.col("n2").alias("documents_count"))
 
 
 def changed(now: DataFrame, saved: DataFrame, group: str = "case_id") -> DataFrame:

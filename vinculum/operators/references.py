@@ -85,7 +85,7 @@ def advance(state: OrphanState, references: DataFrame, parents: DataFrame, cut:
     return OrphanState(spans, materialise(found) if cut else found)
 
 
-def replay(references: DataFrame, parents: DataFrame, period: str = "quarter") -> OrphanState:
+def replay(references: DataFrame, parents: DataFrame, period: str = "year") -> OrphanState:
     """The state after stored tables have arrived batch by batch, in the order of the periods of their times.
 
     A reference arrives in the period of its time (without time in the first), a parent in that of its birth, still without an

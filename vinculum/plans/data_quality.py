@@ -23,10 +23,8 @@ def _staged_references(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan endpoints, and counts of unresolved relationships that aren't so; the state advances by quarters."""
-    state = references.replay(_staged_references(spark, d), _entity_parents(spark, d))
-    orphans = state.orphans().select("table_name", "row_no", "ref_field")
+def _wrong_claims(spark: SparkSession, d: str, orphans: DataFrame) -> DataFrame:
+    """(row_no) of the processing runs whose count of unresolved relationships isn't so."""
     r = table(spark, d, "relationships_staging")
     staged = r.select(
         F.col("rel_no").alias("row_no"), F.col("source_document_id").alias("document"),
@@ -35,17 +33,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "process_results").select(
         F.col("proc_no").alias("row_no"), F.col("document_id").alias("document"), F.col("relationships_unresolved").alias("claimed")
     )
-    wrong = references.wrong_claims(claims, staged, orphans).select(
+    return references.wrong_claims(claims, staged, orphans)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan endpoints, and counts of unresolved relationships that aren't so; the state advances by years."""
+    state = references.replay(_staged_references(spark, d), _entity_parents(spark, d))
+    orphans = state.orphans().select("table_name", "row_no", "ref_field")
+    wrong = _wrong_claims(spark, d, orphans).select(
         F.lit("process_results").alias("table_name"), "row_no", F.lit("relationships_unresolved").alias("ref_field")
     )
     return orphans.unionByName(wrong).distinct()
 
 
 def p2_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Open references per table, field and month."""
-    return references.replay(_staged_references(spark, d), _entity_parents(spark, d)).snapshot("month").withColumn(
-        "period", F.date_format("period", "yyyy-MM")
-    )
+    """Open and all references per table, field and month; of the processing runs the wrong counts and all counts."""
+    state = references.replay(_staged_references(spark, d), _entity_parents(spark, d))
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("period")
+    rows = state.snapshot("month").withColumn("period", month(F.col("period")))
+    wrong = _wrong_claims(spark, d, state.orphans().select("row_no")).withColumn("_w", F.lit(1))
+    runs = table(spark, d, "process_results").filter("relationships_unresolved is not null").select(F.col("proc_no").alias("row_no"), month(F.col("processed_at")))
+    runs = runs.join(wrong, "row_no", "left").groupBy("period").agg(F.count("_w").alias("orphans"), F.count("*").alias("refs"))
+    runs = runs.select(F.lit("process_results").alias("table_name"), F.lit("relationships_unresolved").alias("ref_field"), "period", "orphans", "refs")
+    return rows.unionByName(runs)
 
 
 def _instants(spark: SparkSession, d: str, name: str, text: str, row: str) -> DataFrame:
@@ -112,5 +122,8 @@ ORACLE = {
     "WHERE relationships_unresolved <> coalesce(n.n, 0)",
     "p2_snapshot": _ORPHANS
     + " SELECT 'relationships_staging' AS table_name, f AS ref_field, strftime(extracted_at, '%Y-%m') AS period, "
-    "count(*) FILTER (WHERE orphan) AS orphans, count(*) AS refs FROM o GROUP BY 1, 2, 3",
+    "count(*) FILTER (WHERE orphan) AS orphans, count(*) AS refs FROM o GROUP BY 1, 2, 3 UNION ALL "
+    "SELECT 'process_results', 'relationships_unresolved', strftime(processed_at, '%Y-%m'), count(*) FILTER (WHERE relationships_unresolved <> coalesce(n.n, 0)), count(*) "
+    "FROM process_results LEFT JOIN (SELECT source_document_id AS doc, count(*) AS n FROM relationships_staging r WHERE source_entity_id IS NULL OR target_entity_id IS NULL "
+    "OR rel_no IN (SELECT rel_no FROM o WHERE orphan) GROUP BY 1) n ON n.doc = document_id WHERE relationships_unresolved IS NOT NULL GROUP BY 3",
 }
