@@ -42,6 +42,27 @@ def test_rows_without_unit_get_a_posterior_and_misfits_are_flagged(spark):
     assert got[2000].unit_uncertain is True
 
 
+def test_the_unit_of_a_bare_number_is_recovered(spark):
+    import random
+
+    r = random.Random(4)
+    sums = [10 ** r.gauss(5.0, 0.25) for _ in range(900)]
+    rows = [(k, x, None, "INR", None) for k, x in enumerate(sums[:700])]
+    rows += [(10_000 + k, x, None, None, None) for k, x in enumerate(sums[700:800])]  # in rupees
+    rows += [(20_000 + k, x / 1e5, None, None, None) for k, x in enumerate(sums[800:])]  # in lakhs
+    got = {x.k: x for x in run(spark, rows).collect()}
+    plain, lakhs = [got[k] for k in got if 10_000 <= k < 20_000], [got[k] for k in got if k >= 20_000]
+    assert sum(x.unit_assigned == 1 for x in plain) >= 98 and sum(x.unit_assigned == 100_000 for x in lakhs) >= 98
+    assert all(x.paise_assigned == x.paise * 100_000 for x in lakhs if x.unit_assigned == 100_000)
+    assert sum(x.unit_uncertain for x in plain) <= 4 and all(x.unit_uncertain for x in lakhs if x.unit_assigned != 1) and got[0].unit_assigned is None and got[0].paise_assigned == got[0].paise
+
+
+def test_very_large_amounts_are_readable(spark):
+    rows = [(1, 1e19, None, "INR", None), (2, 3e25, None, None, None), (3, 1e37, None, "INR", None), (4, 1e30, None, "INR crore", None), (5, -2e20, None, "PAISE", None)]
+    got = {r.k: (None if r.paise is None else int(r.paise), r.amount_source) for r in run(spark, rows).collect()}
+    assert got[1] == (10**21, "column") and got[2][0] == 3 * 10**27 and got[3] == (None, "unreadable") and got[4] == (None, "unreadable") and got[5][0] == -2 * 10**20
+
+
 def test_empty_tables_and_bounds(spark):
     assert run(spark, []).count() == 0
     units = spark.createDataFrame(UNITS, "code string, symbols array<string>, paise_per_unit bigint")

@@ -1,7 +1,7 @@
 """Mixed timestamp formats and zones to one UTC instant per row.
 
 Texts are parsed by column expressions into local wall time plus, where the text has one, a numeric offset or a zone name.
-Wall times are then matched as of zone-offset intervals, exploded by zone and local month: two matching intervals mean an
+Wall times are then matched as of zone-offset intervals, exploded by zone and local year: two matching intervals mean an
 ambiguous time (the earlier instant is taken), none a nonexistent one, one gives the offset directly.
 """
 
@@ -27,13 +27,16 @@ ABBREVIATIONS = {
 }
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
-_CLOCK = r"(?:[T ]\s*(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?)?)?"
-_ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|\[[A-Za-z_+\-/0-9]+\]|[A-Za-z]+(?:/[A-Za-z_+\-0-9]+)*)?"
-_DATE_FIRST_YEAR = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_CLOCK}{_ZONE}$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d{1,9}))?)?)?)?" + _ZONE + "$"
-_NUMERIC = rf"^(\d{{1,4}})[-/.](\d{{1,2}})[-/.](\d{{1,4}}){_CLOCK}{_ZONE}$"
-_NAMED = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[-\s]([A-Za-z]{3})[a-z]*[-\s](\d{2}|\d{4})" + _CLOCK + r"\s*([AaPp][Mm])?" + _ZONE + "$"
-_DIGITS = r"^(?:\d{10}|\d{13}|\d{16})$"
+_CLOCK = r"(?:(?:[T ]\s*|,\s+)(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?)?)?"
+_HALF = r"\s*([AaPp]\.?[Mm]\.?(?![A-Za-z]))?"
+_ZONE = r"\s*(Z|[+-]\d{1,2}(?::?\d{2})?|\[[A-Za-z_+\-/0-9]+\]|[A-Za-z]+(?:/[A-Za-z_+\-0-9]+)*)?"
+#: Nine groups each: three of the date, four of the clock, the half of the day, the zone.
+_DATE_FIRST_YEAR = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_CLOCK}{_HALF}{_ZONE}$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d{1,9}))?)?)?)?" + _HALF + _ZONE + "$"
+_NUMERIC = rf"^(\d{{1,4}})[-/.](\d{{1,2}})[-/.](\d{{1,4}}){_CLOCK}{_HALF}{_ZONE}$"
+_NAMED = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[-\s]([A-Za-z]{3})[a-z]*\.?[-,\s]\s*(\d{2}|\d{4})" + _CLOCK + _HALF + _ZONE + "$"
+_MONTH_FIRST = r"^(?:[A-Za-z]{3,9},?\s+)?([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})" + _CLOCK + _HALF + _ZONE + "$"
+_DIGITS = r"^-?(?:\d{10}|\d{13}|\d{16})$"
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
@@ -45,11 +48,12 @@ def _long(value: Column) -> Column:
     return value.try_cast("bigint")
 
 
-def zone_intervals(zones: list[str], first_year: int = 1970, last_year: int = 2045) -> list[tuple[str, int, int, int, int]]:
-    """(zone, local month number, local start, local end, offset seconds) of each offset interval of each zone.
+def zone_intervals(zones: list[str], first_year: int = 1800, last_year: int = 2437) -> list[tuple[str, int, int, int, int]]:
+    """(zone, local year, local start, local end, offset seconds) of each offset interval of each zone.
 
-    Offsets are probed at the start of each month and changes located to the second. A month that an interval touches in
-    local time holds it, so a wall time finds all its intervals under its own month. Unknown zones give no rows.
+    Offsets are probed every four weeks and changes located to the second. A year that an interval touches in local time holds
+    it, so a wall time finds all its intervals under its own year. The first interval is open to the past.
+    Unknown zones give no rows.
     """
     rows = []
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
@@ -79,63 +83,66 @@ def zone_intervals(zones: list[str], first_year: int = 1970, last_year: int = 20
             local_start, local_end = start + off, end + off
             day = dt.date(1970, 1, 1) + dt.timedelta(seconds=local_start)
             last = dt.date(1970, 1, 1) + dt.timedelta(seconds=local_end - 1)
-            month, final = day.year * 12 + day.month - 1, last.year * 12 + last.month - 1
-            rows += [(name, m, local_start * SECOND, local_end * SECOND, off) for m in range(month, final + 1)]
+            begin = -(2**62) if k == 0 else local_start * SECOND
+            rows += [(name, y, begin, local_end * SECOND, off) for y in range(day.year, last.year + 1)]
     return rows
 
 
-def parse_wall(df: DataFrame, text: str, order: str | None) -> DataFrame:
+def parse_wall(df: DataFrame, text: str, order: str | None, abbreviations: dict[str, float] | None = None) -> DataFrame:
     """Add ``_local`` (microseconds of wall time), ``_offset`` (seconds, if the text fixes it), ``_zone`` (zone name in the text)
-    and ``_month`` (local month number). ``order`` is a column DMY, MDY or YMD for all-number dates; null or None means DMY."""
+    and ``_year`` (local year). ``order`` is a column DMY, MDY or YMD for all-number dates; null or None means DMY. ``abbreviations`` replaces
+    the hours from UTC of zone abbreviations, of which some stand for several zones."""
     t = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
     df = df.withColumn("_t", t)
     t = F.col("_t")
     order_col = F.upper(F.coalesce(F.col(order), F.lit("DMY"))) if order else F.lit("DMY")
+    # the text's first signs choose the one pattern that is then matched
     kind = (
         F.when(t.rlike(_DIGITS), "epoch")
-        .when(t.rlike(_DATE_FIRST_YEAR), "ymd")
-        .when(t.rlike(_COMPACT), "compact")
-        .when(t.rlike(_NUMERIC), "numeric")
-        .when(t.rlike(_NAMED), "named")
+        .when(t.rlike(r"^\d{4}[-/.]"), F.when(t.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)"), "ymd").otherwise("numeric"))
+        .when(t.rlike(r"^\d{8}"), "compact")
+        .when(t.rlike(r"^\d{1,3}[-/.]\d"), "numeric")
+        .when(t.rlike(r"^(?:[A-Za-z]{3,9},?\s+)?[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4}"), "month")
+        .otherwise("named")
     )
     df = df.withColumn("_kind", kind)
-    empty = F.array(*[F.lit("")] * 9)
     k = F.col("_kind")
     df = df.withColumn(
         "_g",
-        F.when(k == "ymd", _groups(t, _DATE_FIRST_YEAR, 8))
-        .when(k == "compact", _groups(t, _COMPACT, 8))
-        .when(k == "numeric", _groups(t, _NUMERIC, 8))
+        F.when(k == "ymd", _groups(t, _DATE_FIRST_YEAR, 9))
+        .when(k == "compact", _groups(t, _COMPACT, 9))
+        .when(k == "numeric", _groups(t, _NUMERIC, 9))
         .when(k == "named", _groups(t, _NAMED, 9))
-        .otherwise(empty),
+        .when(k == "month", _groups(t, _MONTH_FIRST, 9)),
     )
+    df = df.withColumn("_g", F.when(F.size("_g") == 9, F.col("_g")))  # no match leaves the text in one piece
     g = [F.try_element_at(F.col("_g"), F.lit(i)) for i in range(1, 10)]
-    numeric, named = k == "numeric", k == "named"
-    year = F.when(numeric, F.when(order_col == "YMD", g[0]).otherwise(g[2])).when(named, g[2]).otherwise(g[0])
-    month_no = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(g[1]))
-    month = F.when(numeric & (order_col == "MDY"), _long(g[0])).when(named, month_no).otherwise(_long(g[1]))
-    day = F.when(numeric, F.when(order_col == "DMY", g[0]).when(order_col == "MDY", g[1]).otherwise(g[2])).when(named, g[0]).otherwise(g[2])
+    numeric, named, turned = k == "numeric", k == "named", k == "month"
+    year = F.when(numeric, F.when(order_col == "YMD", g[0]).otherwise(g[2])).when(named | turned, g[2]).otherwise(g[0])
+    month_no = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.when(turned, g[0]).otherwise(g[1])))
+    month = F.when(numeric & (order_col == "MDY"), _long(g[0])).when(named | turned, F.nullif(month_no, F.lit(0).cast("bigint"))).otherwise(_long(g[1]))
+    day = F.when(numeric, F.when(order_col == "DMY", g[0]).when(order_col == "MDY", g[1]).otherwise(g[2])).when(named, g[0]).when(turned, g[1]).otherwise(g[2])
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).when(F.length(year) == 4, year)
     day = F.when(F.length(day) <= 2, day)
     date = F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
     date = F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), date)
-    hour, half = F.coalesce(_long(g[3]), F.lit(0)), F.lower(F.when(named, g[7]))
+    hour, half = F.coalesce(_long(g[3]), F.lit(0)), F.lower(F.substring(g[7], 1, 1))
     hour = (
         F.when(F.coalesce(half, F.lit("")) == "", F.when(hour <= 23, hour))
         .when((hour < 1) | (hour > 12), None)
-        .otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        .otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
     )
     minute, second = F.coalesce(_long(g[4]), F.lit(0)), F.coalesce(_long(g[5]), F.lit(0))
     micros = _long(F.substring(F.rpad(g[6], 6, "0"), 1, 6))
     clock = F.when((minute <= 59) & (second <= 59), ((hour * 60 + minute) * 60 + second) * SECOND + F.coalesce(micros, F.lit(0)))
-    zone = F.when(named, g[8]).otherwise(g[7])
+    zone = g[8]
     zone = F.when(zone != "", F.regexp_replace(zone, r"[\[\]]", ""))
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
+    hours, minutes = F.regexp_extract(zone, r"^[+-](\d{1,2})", 1), F.regexp_extract(zone, r"^[+-]\d{1,2}:?(\d{2})$", 1)
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    numeric_offset = sign * (_long(F.substring(digits, 1, 2)) * 3600 + _long(F.substring(digits, 3, 2)) * 60)
-    abbreviation = F.create_map(*[F.lit(x) for a, h in ABBREVIATIONS.items() for x in (a, int(h * 3600))])
+    numeric_offset = sign * (_long(hours) * 3600 + F.coalesce(_long(minutes), F.lit(0)) * 60)
+    abbreviation = F.create_map(*[F.lit(x) for a, h in (abbreviations or ABBREVIATIONS).items() for x in (a, int(h * 3600))])
     offset = F.when(k == "epoch", 0).when(zone.rlike(r"^[+-]\d"), numeric_offset).otherwise(F.try_element_at(abbreviation, F.upper(zone)))
-    size = F.length(t)
+    size = F.length(F.regexp_replace(t, "^-", ""))
     raw = _long(t)
     epoch = F.when(size == 10, raw * SECOND).when(size == 13, raw * 1000).otherwise(raw)
     return (
@@ -143,13 +150,13 @@ def parse_wall(df: DataFrame, text: str, order: str | None) -> DataFrame:
         .withColumn("_local", F.when(k == "epoch", epoch).otherwise(F.datediff("_date", F.lit(dt.date(1970, 1, 1))).cast("bigint") * DAY + clock))
         .withColumn("_offset", offset)
         .withColumn("_zone", F.when((k != "epoch") & F.col("_offset").isNull(), zone))
-        .withColumn("_month", F.year("_date") * 12 + F.month("_date") - 1)
+        .withColumn("_year", F.year("_date"))
         .drop("_g", "_kind", "_t", "_date")
     )
 
 
 def normalise_instants(
-    df: DataFrame, text: str, zone: str | None = None, order: str | None = None, first_year: int = 1970, last_year: int = 2045
+    df: DataFrame, text: str, zone: str | None = None, order: str | None = None, abbreviations: dict[str, float] | None = None
 ) -> DataFrame:
     """Add ``instant_us`` BIGINT (UTC microseconds), ``instant`` TIMESTAMP and ``instant_status`` to each row.
 
@@ -157,14 +164,17 @@ def normalise_instants(
     with the order of all-number dates. Status: ``ok``; ``ambiguous`` (wall time occurs twice, the earlier instant is given);
     ``nonexistent`` (skipped by a clock change or zone unknown, instant null); ``unreadable`` (null, empty or no valid time,
     instant null). All rows and columns are kept, repeated rows too; an empty table gives an empty one. Columns of the input
-    named as the three new ones are replaced; helper names begin with ``_`` and must be free.
+    named as the three new ones are replaced; helper names begin with ``_`` and must be free. Years are those of four digits.
 
-    The interval table has at most one entry per known zone and month, a bound that doesn't depend on the data, and is
-    broadcast.
+    The interval table has one entry per known zone and year of 1800 to 2437, a bound that doesn't depend on the data,
+    and is broadcast. Earlier times lie in each zone's first interval; later ones are looked up a multiple of 400 years before,
+    after which the calendar and the rules of clock changes repeat.
     """
     spark = df.sparkSession
     df = df.drop("instant_us", "instant", "instant_status")
-    parsed = parse_wall(df, text, order)
+    parsed = parse_wall(df, text, order, abbreviations)
+    cycles = F.greatest(F.ceil((F.col("_year") - F.lit(2437)) / F.lit(400.0)), F.lit(0)).cast("int")
+    parsed = parsed.withColumn("_shift", F.coalesce(cycles, F.lit(0)) * F.lit(146_097 * DAY)).withColumn("_year", F.greatest(F.col("_year") - cycles * 400, F.lit(1800)))
     home = F.coalesce(F.col(zone), F.lit("UTC")) if zone else F.lit("UTC")
     parsed = parsed.withColumn("_zone", F.when(F.col("_offset").isNull(), F.coalesce("_zone", home)))
     names = F.regexp_extract(F.trim(F.col(text)), r"([A-Za-z]+/[A-Za-z_+\-/0-9]+)\]?$", 1).alias("z")
@@ -174,11 +184,12 @@ def normalise_instants(
     known = zoneinfo.available_timezones()
     zones = [r.z for r in used.distinct().filter(F.col("z").isin(*sorted(known))).collect()]
     table = spark.createDataFrame(
-        zone_intervals([*zones, "UTC"], first_year, last_year), "_zone string, _month int, _from bigint, _to bigint, _off bigint"
+        zone_intervals([*zones, "UTC"]), "_zone string, _year int, _from bigint, _to bigint, _off bigint"
     )
-    table = table.groupBy("_zone", "_month").agg(F.collect_list(F.struct("_from", "_to", "_off")).alias("_spans"))
-    joined = parsed.join(F.broadcast(table), ["_zone", "_month"], "left")
-    hits = F.filter("_spans", lambda s: (s["_from"] <= F.col("_local")) & (F.col("_local") < s["_to"]))
+    table = table.groupBy("_zone", "_year").agg(F.collect_list(F.struct("_from", "_to", "_off")).alias("_spans"))
+    joined = parsed.join(F.broadcast(table), ["_zone", "_year"], "left")
+    at = F.col("_local") - F.col("_shift")
+    hits = F.filter("_spans", lambda s: (s["_from"] <= at) & (at < s["_to"]))
     joined = joined.withColumn("_hits", F.transform(hits, lambda s: F.col("_local") - s["_off"] * SECOND))
     found = F.coalesce(F.size("_hits"), F.lit(0))
     fixed = F.col("_offset").isNotNull()

@@ -115,12 +115,14 @@ def _scale_and_rate(tokens: Column, units: dict[str, int]) -> tuple[Column, Colu
     return factor, rate, understood & (F.size(others) <= 1)
 
 
-def normalise_amounts(df: DataFrame, units: DataFrame, amount: str = "amount", text: str = "amount_text", unit: str = "currency", per_decade: int = 8) -> DataFrame:
+def normalise_amounts(df: DataFrame, units: DataFrame, amount: str = "amount", text: str = "amount_text", unit: str = "currency", per_decade: int = 8, sure: float = 0.9) -> DataFrame:
     """Add the sum of each row in paise and how it was come by.
 
     New columns: ``paise`` DECIMAL(38,0), null if unreadable; ``amount_source`` 'text', 'column', 'none' or 'unreadable';
     ``unit_stated`` BOOLEAN; for rows without a stated unit ``unit_posterior`` DOUBLE (probability that the convention, whole
-    rupees, holds) and ``unit_uncertain`` BOOLEAN (below 0.5), both null for the rest.
+    rupees, holds), ``unit_assigned`` DECIMAL (rupees in the unit of the highest posterior: 1, 1000, 100000, ... ),
+    ``assigned_posterior`` DOUBLE, ``unit_uncertain`` BOOLEAN (the convention's is below 0.5, or no unit's reaches ``sure``), null for the rest, and
+    ``paise_assigned``, the sum in the assigned unit (``paise`` where a unit is stated). ``paise`` itself follows the convention.
     A text, if present and not blank, states number and unit (rupees if it names no currency); otherwise the amount counts in
     its unit, rupees if null. Null, empty, NaN and infinite amounts and unknown units give null. Zero and negative sums
     convert like others. All rows and columns are kept; columns of the input with the new names are replaced; helper names begin with ``_`` and must be free.
@@ -128,7 +130,7 @@ def normalise_amounts(df: DataFrame, units: DataFrame, amount: str = "amount", t
     The mixture is fitted on a histogram of log10 of all rows with and without stated unit (``per_decade`` bins a decade, so
     its size is bounded by the range of doubles); only the histogram reaches the driver.
     """
-    df = df.drop("paise", "amount_source", "unit_stated", "unit_posterior", "unit_uncertain")
+    df = df.drop("paise", "amount_source", "unit_stated", "unit_posterior", "unit_uncertain", "unit_assigned", "assigned_posterior", "paise_assigned")
     table = unit_table(units)
     cols = df.columns
     t = F.lower(F.trim(F.regexp_replace(F.col(text), r"(?U)[\s​]+", " ")))
@@ -159,8 +161,10 @@ def normalise_amounts(df: DataFrame, units: DataFrame, amount: str = "amount", t
     no_unit = F.col(unit).isNull() | (F.size(u) == 0)
     a = F.col(amount)
     finite = a.isNotNull() & ~F.isnan(a) & (F.abs(a) < 1e19)
+    huge = F.when(~F.isnan(a) & (F.abs(a) >= 1e19) & (F.abs(a) < 1e36), a.cast("double").try_cast("decimal(38,0)"))  # doubles of this size are whole
     df = (
         df.withColumn("_from_text", F.col("_t").isNotNull())
+        .withColumn("_huge", F.when(F.col("_t").isNull() & (no_unit | c_good), huge))
         .withColumn("_value", F.when(F.col("_from_text"), F.col("_value")).otherwise(F.when(finite & (no_unit | c_good), a.try_cast("decimal(28,8)"))))
         .withColumn("_factor", F.when(F.col("_from_text"), F.col("_factor")).otherwise(F.when(no_unit, F.lit(1).cast("bigint")).otherwise(c_factor)))
         .withColumn("_rate", F.when(F.col("_from_text"), F.col("_rate")).otherwise(F.when(~no_unit, c_rate)))
@@ -171,29 +175,37 @@ def normalise_amounts(df: DataFrame, units: DataFrame, amount: str = "amount", t
     whole = F.floor(F.col("_value")).cast("decimal(20,0)")
     part = (F.col("_value") - whole).cast("decimal(9,8)")
     paise = F.round(whole * per.cast("decimal(18,0)") + part * per.cast("decimal(18,0)"), 0).cast("decimal(38,0)")
+    paise = F.coalesce(paise, F.try_multiply(F.col("_huge"), per.cast("decimal(18,0)")).try_cast("decimal(38,0)"))
     source = (
         F.when(F.col("_from_text"), F.when(F.col("_value").isNull(), "unreadable").otherwise("text"))
         .when(a.isNull(), "none")
-        .when(F.col("_value").isNull(), "unreadable")
+        .when(paise.isNull(), "unreadable")
         .otherwise("column")
     )
     # read by the histogram and by the result: written once
-    df = materialise(df.select(*cols, paise.alias("paise"), source.alias("amount_source"), "unit_stated", F.col("_value").cast("double").alias("_v")))
+    df = materialise(df.select(*cols, paise.alias("paise"), source.alias("amount_source"), "unit_stated", F.coalesce(F.col("_value").cast("double"), F.col("_huge").cast("double")).alias("_v")))
     posterior = _posterior(df, table, per_decade)
     bin_of = F.when(~F.col("unit_stated") & (F.col("_v") > 0), F.floor(F.log10("_v") * per_decade))
     return (
         df.withColumn("_bin", bin_of.cast("bigint"))
         .join(F.broadcast(posterior), "_bin", "left")
-        .withColumn("unit_uncertain", F.col("unit_posterior") < 0.5)
-        .select(*cols, "paise", "amount_source", "unit_stated", "unit_posterior", "unit_uncertain")
+        .withColumn("unit_uncertain", (F.col("unit_posterior") < 0.5) | (F.col("assigned_posterior") < F.lit(sure)))
+        .withColumn("_up", F.greatest("_factor", F.lit(1.0)).cast("decimal(18,0)"))
+        .withColumn("_down", F.round(F.lit(1.0) / F.least("_factor", F.lit(1.0))).cast("decimal(18,0)"))
+        .withColumn("paise_assigned", F.when(F.col("_factor").isNull(), F.col("paise")).otherwise(F.round(F.try_divide(F.try_multiply(F.col("paise"), F.col("_up")), F.col("_down")), 0).try_cast("decimal(38,0)")))
+        .withColumn("unit_assigned", F.col("_factor"))
+        .select(*cols, "paise", "amount_source", "unit_stated", "unit_posterior", "unit_uncertain", "unit_assigned", "assigned_posterior", "paise_assigned")
     )
 
 
 def _posterior(df: DataFrame, units: dict[str, int], per_decade: int, rounds: int = 25) -> DataFrame:
-    """(_bin, unit_posterior): probability of whole rupees for a bare number, by bin of its log10.
+    """(_bin, unit_posterior, _factor, assigned_posterior) for a bare number, by bin of its log10: the probability of whole rupees, and
+    the likeliest unit with its probability.
 
     The shape of sums is the histogram of log10 rupees of rows with stated units, smoothed; component c of the mixture is
-    this shape shifted by log10 of c's factor; the weights are fitted by expectation maximisation on the bare numbers.
+    this shape shifted by log10 of c's factor; the weights are fitted by expectation maximisation on the bare numbers. A foreign
+    currency without its name shifts by less than a sum's own spread, so the components are the rupee and those multiples
+    and units that are apart by at least half a decade.
     """
     spark = df.sparkSession
     v = F.when(F.col("unit_stated"), F.col("paise").cast("double") / 100).otherwise(F.col("_v"))
@@ -202,7 +214,10 @@ def _posterior(df: DataFrame, units: dict[str, int], per_decade: int, rounds: in
     for r in counts:
         (shape if r.unit_stated else bare)[r.b] = r["count"]
     total = sum(shape.values())
-    factors = sorted({1.0, *(f / 100 for f in units.values()), *map(float, SCALES.values())})
+    factors: list[float] = [1.0]
+    for f in sorted({*(f / 100 for f in units.values()), *map(float, SCALES.values())}, key=lambda f: (abs(math.log10(f)), f)):
+        if all(abs(math.log10(f / g)) >= 0.5 for g in factors):
+            factors.append(f)
 
     def density(b: float) -> float:
         k = round(b)
@@ -218,8 +233,12 @@ def _posterior(df: DataFrame, units: dict[str, int], per_decade: int, rounds: in
                 new[f] += n * weights[f] * like[b][f] / norm
         whole = sum(new.values())
         weights = {f: x / whole for f, x in new.items()} if whole else weights
-    rows = [(b, weights[1.0] * x[1.0] / sum(weights[f] * x[f] for f in factors)) for b, x in like.items()]
-    return spark.createDataFrame(rows, "_bin bigint, unit_posterior double")
+    rows = []
+    for b, x in like.items():
+        norm = sum(weights[f] * x[f] for f in factors)
+        best = max(factors, key=lambda f: (weights[f] * x[f], -f))
+        rows.append((b, weights[1.0] * x[1.0] / norm, best, weights[best] * x[best] / norm))
+    return spark.createDataFrame(rows, "_bin bigint, unit_posterior double, _factor double, assigned_posterior double")
 
 
 def same_sum_pairs(df: DataFrame, record: str, row: str, written: list[str]) -> DataFrame:
