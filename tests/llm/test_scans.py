@@ -54,3 +54,13 @@ def test_paragraphs_are_continuous(spark):
     assert got.count("The vehicle was parked near the water tank and nobody saw it leave before the evening. The officer on duty recorded the statement of a witness and the register is kept by the head clerk.") == 6
     assert got.count("the vehicle was seen through the shutter and the co-accused used to meet behind the grain godown.") == 6
     assert not any("POLICE STATION" in t or "- 3 -" in t for t in got)
+
+
+def test_page_numbers_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["xxi", "xlii", "mcmxc", "12345", "Page 10001 of 20000", "- 7 -", "mill", "iiii", "livid", "xx|"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scans._number(F.col("t")).alias("n")).collect()]
+    assert got == [21, 42, 1990, 12345, 10001, 7, None, None, None, 21]
+    rows = [(1, p, 1, str(p + 5000), None, None) for p in range(1, 4)] + [(1, p, k, f"{FILL[3 * p + k]}", None, None) for p in range(1, 4) for k in (2, 3, 4)]
+    assert {d for d in defects(spark, rows) if d[3] == "page_number"} == {(1, p, 1, "page_number") for p in range(1, 4)}

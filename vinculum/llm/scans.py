@@ -21,10 +21,12 @@ CONFUSED = [
 #: Position of a broken word, put together, beyond all words of its line.
 WHOLE = 1_000_000_000
 HYPHENS = "-‐\u00ad¬"
-_ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx"]
-_PAGE = r"^(?:p(?:a|@)(?:g|9)(?:e|c)|p(?:g|9)\.?|p\.)?\s*[-–\[(]*\s*([0-9lIO|]{1,4}|[ivx|]{1,6})\s*[-–\])]*\s*(?:(?:o|0)f\s+[0-9lIO|]{1,4})?\s*[-–\])]*\.?$"
-_LABEL = r"^p(?:a|@)?(?:g|9)(?:e|c)?\b|^[-–\[(]\s*[0-9lio|]{1,4}\s*[-–\])]$"
-_PAGE_TAIL = r"(?i)\s{2,}[-–\[(]*\s*(?:(?:p[a@][g9][ec]|p[g9]\.?|p\.)\s*)?[-–\[(]*\s*[0-9lIO|]{1,4}\s*[-–\])]*(?:\s+[o0]f\s+[0-9lIO|]{1,4})?\s*[-–\])]*\s*$"
+#: Values of the letters of Roman numbers, and the form of such a number.
+_ROMAN_LETTERS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+_ROMAN_FORM = r"^m*(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
+_PAGE = r"^(?:p(?:a|@)(?:g|9)(?:e|c)|p(?:g|9)\.?|p\.)?\s*[-–\[(]*\s*([0-9lIO|]{1,9}|[ivxlcdm|]{1,15})\s*[-–\])]*\s*(?:(?:o|0)f\s+[0-9lIO|]{1,9})?\s*[-–\])]*\.?$"
+_LABEL = r"^p(?:a|@)?(?:g|9)(?:e|c)?\b|^[-–\[(]\s*[0-9lio|]{1,9}\s*[-–\])]$"
+_PAGE_TAIL = r"(?i)\s{2,}[-–\[(]*\s*(?:(?:p[a@][g9][ec]|p[g9]\.?|p\.)\s*)?[-–\[(]*\s*[0-9lIO|]{1,9}\s*[-–\])]*(?:\s+[o0]f\s+[0-9lIO|]{1,9})?\s*[-–\])]*\s*$"
 _ODD = r"[|†@ﬁﬂﬀ€¢]"
 
 
@@ -61,7 +63,11 @@ def _number(text: Column) -> Column:
     """Value of a line that holds nothing but a page number; null otherwise."""
     raw = F.regexp_extract(F.lower(F.trim(text)), _PAGE.replace("lIO", "lio"), 1)
     arabic = F.translate(raw, "lio|", "1101")
-    roman = F.array_position(F.array(*map(F.lit, _ROMAN)), F.translate(raw, "|", "i"))
+    letters = F.translate(raw, "|", "i")
+    value = F.create_map(*[F.lit(x) for pair in _ROMAN_LETTERS.items() for x in pair])
+    each = F.transform(F.split(letters, ""), lambda c: F.coalesce(F.try_element_at(value, c), F.lit(0)))
+    signed = F.transform(each, lambda x, i: F.when(x < F.coalesce(F.get(each, i + 1), F.lit(0)), -x).otherwise(x))
+    roman = F.when(letters.rlike(_ROMAN_FORM), F.aggregate(signed, F.lit(0), lambda a, x: a + x).cast("bigint"))
     return F.when(raw == "", None).when(raw.rlike("[0-9]") | (raw.isin("l", "|", "o")), arabic.try_cast("bigint")).otherwise(F.when(roman > 0, roman))
 
 
@@ -90,7 +96,7 @@ def classify(blocks: DataFrame, near: int = 3, least_known: int = 5) -> DataFram
     """
     lines = _lines(blocks).withColumn("number", F.when(F.col("edge") <= 2, _number(F.col("text"))))
     lines = materialise(lines.withColumn("shift", F.col("number") - F.col("page")))
-    shifts = lines.filter("shift <> 0 and abs(shift) < 1000").groupBy("scan_id", "shift").agg(F.count_distinct("page").alias("agree"))
+    shifts = lines.filter("shift <> 0").groupBy("scan_id", "shift").agg(F.count_distinct("page").alias("agree"))
     lines = lines.join(shifts, ["scan_id", "shift"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
     lines = lines.withColumn("is_number", F.coalesce((F.col("shift") == 0) | (F.col("agree") >= 2) | F.lower(F.trim("text")).rlike(_LABEL), F.lit(False)) & F.col("number").isNotNull())
     lines = materialise(lines.drop("shift", "agree", "number"))
@@ -170,7 +176,7 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(word, r"(?U)^[^\p{L}\p{N}|†@]+|[^\p{L}\p{N}|†@]+$", "")
 
 
-def repair_lines(lines: DataFrame) -> DataFrame:
+def repair_lines(lines: DataFrame, often_share: float = 1.5e-4) -> DataFrame:
     """Body lines of the output of ``classify`` with role, defects and repaired text: scan_id, page, line_id, text, role, hyphen BOOLEAN, misread BOOLEAN, fixed.
 
     ``fixed`` is the body line with misread words replaced; ``hyphen`` tells that its last word goes on in the next body line.
@@ -196,6 +202,8 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     compounds = materialise(
         spots.filter(inside).select(F.lower(_bare(F.col("t.raw"))).alias("word")).filter(F.col("word").rlike(r"(?U)\p{L}-\p{L}")).groupBy("word").agg(F.count("*").alias("nc"))
     )
+    # a word is usual from this share of all words on, whatever the size of the corpus
+    usual = (lexicon.agg(F.sum("n")).first()[0] or 0) * often_share
     # broken words
     ends = body.filter("mark <> '' and rest <> ''").select("scan_id", "page", "line_id", "npage", "nline", "mark", "cut", "rest", joined.alias("joined"), compound.alias("compound"))
     bare_compound = _bare(F.col("compound"))
@@ -210,7 +218,7 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     soft = F.col("mark") != "-"
     lower_rest = F.col("rest").rlike(r"(?U)^[\p{Ll}|†@01569ﬁﬂ]") | F.col("cut").rlike(r"(?U)\p{Lu}\p{Lu}$")
     digits = F.col("cut").rlike(r"\d{2}$|^\d+$") | F.col("rest").rlike(r"^\d{2}")
-    is_cut = F.when(digits, False).when(soft, True).otherwise(lower_rest & (nc <= n) & ~((n == 0) & (na >= 20) & (nr >= 20)))
+    is_cut = F.when(digits, False).when(soft, True).otherwise(lower_rest & (nc <= n) & ~((n == 0) & (na >= usual) & (nr >= usual)))
     ends = materialise(ends.select("scan_id", "page", "line_id", "npage", "nline", "cut", "rest", "joined", is_cut.alias("hyphen")))
     # misread words: whole ones and broken ones
     # words are judged once each; only occurrences of suspects are looked at again
@@ -239,7 +247,7 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     verdict = (
         F.when(ids, None)
         .when(F.col("main").isNull(), F.when(odd_shape & (F.length("word") >= 3), "odd"))
-        .when(sign, F.when((F.length("word") >= 3) | (F.col("often") >= 20), "sure"))
+        .when(sign, F.when((F.length("word") >= 3) | (F.col("often") >= usual), "sure"))
         .when((F.col("often") >= 2 * rare) & one, F.when(F.col("often") >= 3 * rare, "sure").otherwise("maybe"))
     )
     suspects = materialise(words.withColumn("verdict", verdict).filter("verdict is not null").select("word", "main", "verdict"))
