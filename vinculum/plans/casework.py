@@ -724,6 +724,22 @@ def _no_records(found: DataFrame) -> DataFrame:
     return found.sparkSession.createDataFrame([], f"doc {kind}, src string, type string, tgt string, confidence double, status string, record string, snippet string")
 
 
+@query(
+    "record_relationships",
+    f"WITH vc AS (SELECT * FROM (SELECT *, {_CALL_REJECT} AS reject FROM calls) WHERE reject IS NULL AND case_id IS NOT NULL), r AS (SELECT case_id, {_made_id('cdr', 'caller', 'callee', 'call_time', '')} AS record, {_phone('caller')} AS s, {_phone('callee')} AS t FROM vc), "
+    "n AS (SELECT DISTINCT case_id, s AS name FROM r WHERE trim(s) <> '' UNION SELECT case_id, t FROM r WHERE trim(t) <> ''), m AS (SELECT case_id, name, 'mention_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, '0') AS id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY name) AS i FROM n)) "
+    "SELECT r.case_id AS doc, a.id AS src, 'CALLED' AS type, b.id AS tgt, 0.98::DOUBLE AS confidence, 'CONFIRMED' AS status, min(r.record) AS record FROM r JOIN m a ON a.case_id = r.case_id AND a.name = r.s JOIN m b ON b.case_id = r.case_id AND b.name = r.t WHERE a.id <> b.id GROUP BY 1, 2, 4",
+)
+def record_relationships(spark, d):
+    """Who called whom in each case, from its valid calls, between the mentions that the records' own parties give."""
+    c = validation.lenient(validation.check_calls(table(spark, d, "calls"))).filter("case_id is not null")
+    record = patterns.record_key(F.col("record_id"), "cdr", F.col("caller"), F.col("callee"), F.col("call_time"), "")
+    records = c.select(F.col("case_id").alias("doc"), record.alias("record"), text.match_phone(F.col("caller")).alias("source"), text.match_phone(F.col("callee")).alias("target"), F.lit(None).cast("string").alias("what"))
+    nobody = records.select("doc", F.col("source").alias("name")).limit(0)
+    found = patterns.numbered(relations.record_stubs(records, nobody, "CDR"), "mention", ["name"], ["doc"], "mention_id")
+    return relations.record_relations(records, found, "CDR").drop("snippet")
+
+
 @query("evidence_blocks")
 def evidence_blocks(spark, d):
     return extraction.evidence_blocks(_texts(spark, d))
