@@ -91,3 +91,16 @@ def test_bounds_and_junk(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(V.is_junk(F.col("n"))).collect()] == [True, True, True, True, False]
+
+
+def test_chunks_become_one_set_and_ends_cap_confidence(spark):
+    ents = spark.createDataFrame([(1, 0, "PERSON", "Asha Rao", 0.7), (1, 1, "person", " asha rao ", 0.9), (1, 1, "PERSON", " ", 0.9), (1, 1, "GHOST", "x", 0.9), (1, 2, "PHONE", "1", None)], "doc int, chunk int, etype string, name string, confidence double")
+    rels = spark.createDataFrame([(1, 0, "A", "B", "CALLED", 0.6, "s"), (1, 1, "a", "b ", "called", 0.6, "t"), (1, 1, "A", "a", "CALLED", 0.9, "u"), (1, 1, "A", "C", "CALLED", None, " ")], "doc int, chunk int, source string, target string, type string, confidence double, snippet string")
+    e, r = E.merge_chunks(ents, rels)
+    assert {(x.etype, x.name, x.confidence) for x in e.collect()} == {("PERSON", "asha rao", 0.9), ("PHONE", "1", 0.9)}
+    assert {(x.source, x.target, x.confidence, x.snippet) for x in r.collect()} == {("A", "B", 0.6, "s"), ("A", "C", 0.85, "Extracted connection between A and C.")}
+    m = spark.createDataFrame([(1, "m1", 0.7), (1, "m2", 0.81234)], "doc int, mention_id string, confidence double")
+    edges = spark.createDataFrame([(1, "m1", "m2", 0.95), (1, "m2", "m2", 0.95), (1, "m1", "zz", 0.95)], "doc int, src string, tgt string, confidence double")
+    assert {(x.src, x.tgt, x.capped) for x in E.cap_by_ends(edges, m).collect()} == {("m1", "m2", 0.7), ("m2", "m2", 0.8123), ("m1", "zz", 0.95)}
+    told = E.candidate_telemetry(edges, edges.limit(1), ["src", "tgt"]).first()
+    assert (told.seen, told.accepted, told.rejected) == (3, 1, 2)
