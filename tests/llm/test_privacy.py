@@ -1,6 +1,7 @@
 import numpy as np
 
 from vinculum.llm import privacy as P
+from vinculum.llm.plans import QUERIES
 from vinculum.llm.trees import BoostedTrees
 
 TEXT = (
@@ -86,6 +87,19 @@ def test_tables_with_nulls_repeats_and_long_texts(spark):
     assert red[2] is None and red[3] == "" and "[PHONE]" in red[1] and "Vortudur" not in red[1] and red[1].startswith("Memo 184-A: [NAME], resident of [ADDRESS], was")
 
 
+def test_redacted_holds_every_document_and_every_snippet(spark, tmp_path):
+    plain = "Nothing was said."
+    spark.createDataFrame([(1, TEXT), (2, None), (3, ""), (4, plain), (4, plain)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    listed = [("e1", [TEXT, plain, TEXT]), ("e2", [None, "", "Ask Mr Lunu Vortudur."]), ("e3", []), ("e4", None), (None, [plain])]
+    spark.createDataFrame(listed, "entity_id string, evidence_snippets array<string>").write.parquet(f"{tmp_path}/entity_attributes.parquet")
+    got = [tuple(r) for r in QUERIES["p6_redacted"](spark, str(tmp_path)).select("doc_id", "entity_id", "snippet_no", "redacted").collect()]
+    red = next(r[3] for r in got if r[0] == 1)
+    assert red.startswith("Memo 184-A: [NAME], resident of [ADDRESS], was") and not any(item in red for _, item in ITEMS)
+    docs = [(1, red), (2, None), (3, ""), (4, plain), (4, plain)]
+    snippets = [("e1", 0, red), ("e1", 1, plain), ("e1", 2, red), ("e2", 0, None), ("e2", 1, ""), ("e2", 2, "Ask Mr [NAME]."), (None, 0, plain)]
+    assert sorted(got, key=str) == sorted([*((k, None, None, t) for k, t in docs), *((None, e, n, t) for e, n, t in snippets)], key=str)
+
+
 def test_odd_texts_do_no_harm():
     for text in ("", " ", "@", "at", "A.", "12", "((+", "₹", "ـ" * 50, "x" * 5000, "9" * 5000, "Ab " * 3000, "a-b'c/d_e", "शब्द" * 999, "[at] [dot]", "# 1", "Mr.", "Mr. ", "\n\n\t", "İstanbul Şahin"):
         P.trained().find([text])

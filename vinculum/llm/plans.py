@@ -63,8 +63,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's text with typed placeholders."""
-    return privacy.redact(table(spark, d, "documents"), "doc_id", "text")
+    """Every document's text and every evidence snippet with typed placeholders.
+
+    (doc_id, entity_id, snippet_no, redacted): a row of documents has doc_id only, a snippet its entity and its place from 0.
+    """
+    docs = privacy.redact(table(spark, d, "documents"), "doc_id", "text")
+    snippets = table(spark, d, "entity_attributes").select("entity_id", F.posexplode("evidence_snippets").alias("snippet_no", "text"))
+    found = privacy.redact(snippets, ["entity_id", "snippet_no"], "text")
+    return docs.unionByName(found, allowMissingColumns=True).select("doc_id", "entity_id", "snippet_no", "redacted")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

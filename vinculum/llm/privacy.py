@@ -814,23 +814,25 @@ def select(spans: list[tuple[int, int, int]], p: np.ndarray, cuts: np.ndarray) -
     return taken
 
 
-def _run(df: DataFrame, key: str, text: str, rows: int, each, schema: str) -> DataFrame:
+def _run(df: DataFrame, keys: list[str], text: str, rows: int, each, schema: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(trained(rows))
+    inner = [f"_k{i}" for i in range(len(keys))]
 
     def run(frames):
         import pandas as pd
 
         for f in frames:
-            keys, texts = f["_k"].tolist(), f["_t"].tolist()
+            values, texts = list(zip(*(f[c].tolist() for c in inner))), f["_t"].tolist()
             out = []
             for k in range(0, len(texts), 2048):
                 found = shared.value.find([t or "" for t in texts[k : k + 2048]])
                 for i, s in enumerate(found):
-                    out += each(keys[k + i], texts[k + i], s)
-            yield pd.DataFrame(out, columns=["_k", *(c.split()[0] for c in schema.split(", "))], dtype=object)
+                    out += each(values[k + i], texts[k + i], s)
+            yield pd.DataFrame(out, columns=[*inner, *(c.split()[0] for c in schema.split(", "))], dtype=object)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, f"_k {kind}, {schema}").withColumnRenamed("_k", key)
+    typed = "".join(f"{c} {df.schema[key].dataType.simpleString()}, " for c, key in zip(inner, keys))
+    made = df.select(*[F.col(key).alias(c) for c, key in zip(inner, keys)], F.col(text).alias("_t")).mapInPandas(run, typed + schema)
+    return made.withColumnsRenamed(dict(zip(inner, keys)))
 
 
 def find_personal(df: DataFrame, key: str, text: str, rows: int = 8000) -> DataFrame:
@@ -838,20 +840,23 @@ def find_personal(df: DataFrame, key: str, text: str, rows: int = 8000) -> DataF
 
     Null and empty texts have no item. Repeated rows give repeated items, a null key stays null, other columns are dropped.
     """
-    each = lambda k, t, s: sorted({(k, KINDS[c], t[a:b]) for a, b, c in s}, key=str)
-    return _run(df.filter(F.col(text) != ""), key, text, rows, each, "pii_kind string, found_text string")
+    each = lambda k, t, s: sorted({(*k, KINDS[c], t[a:b]) for a, b, c in s}, key=str)
+    return _run(df.filter(F.col(text) != ""), [key], text, rows, each, "pii_kind string, found_text string")
 
 
-def redact(df: DataFrame, key: str, text: str, rows: int = 8000) -> DataFrame:
-    """(``key``, redacted): every row's text with its personal items replaced by [NAME], [PHONE] and so on; null stays null."""
+def redact(df: DataFrame, key: str | list[str], text: str, rows: int = 8000) -> DataFrame:
+    """(``key``, redacted): every row's text with its personal items replaced by [NAME], [PHONE] and so on; null stays null.
+
+    ``key`` is one column or several, which are returned as they are.
+    """
 
     def each(k, t, s):
         if t is None:
-            return [(k, None)]
+            return [(*k, None)]
         parts, at = [], 0
         for a, b, c in s:
             parts += [t[at:a], f"[{KINDS[c]}]"]
             at = b
-        return [(k, "".join([*parts, t[at:]]))]
+        return [(*k, "".join([*parts, t[at:]]))]
 
-    return _run(df, key, text, rows, each, "redacted string")
+    return _run(df, [key] if isinstance(key, str) else key, text, rows, each, "redacted string")
